@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quirewise.llm import vocabulary
+from quirewise.llm import distinctive, vocabulary
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
     "p1_vocabulary": vocabulary.p1_vocabulary,
+    "p2_found": distinctive.p2_found,
+    "p2_distinctive": distinctive.p2_distinctive,
 }
 
 ORACLE: dict[str, str] = {}
