@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from quirewise.llm import distinctive, vocabulary
+from quirewise.llm import distinctive, encoding, mixing, vocabulary
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
     "p1_vocabulary": vocabulary.p1_vocabulary,
     "p2_found": distinctive.p2_found,
     "p2_distinctive": distinctive.p2_distinctive,
+    "p6_ids": encoding.p6_ids,
+    "p6_decoded": encoding.p6_decoded,
+    "p7_found": mixing.p7_found,
+    "p7_shares": mixing.p7_shares,
+    "p7_picks": mixing.p7_picks,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
