@@ -42,8 +42,11 @@ def run_tokens(spark: SparkSession, sf_dir: str, version: str = "edited") -> Dat
     """Tokens of the latest run of each unit in one version, without the surfaces that are missing, and with
     `surface` folded. Hash-partitioned by unit_id."""
     t = table(spark, sf_dir, "tokens").filter(F.col("version") == version).drop("version")
+    # What end_char exceeds start_char and surface by is mostly 0: it compares alike and hardly weighs in the exchange.
+    t = t.withColumn("end_char", F.col("end_char") - F.col("start_char") - F.coalesce(F.length("surface"), F.lit(0)))
     # Python comes before the exchange, as what follows it would no longer count as partitioned.
     t = latest(t.withColumn("__folded", fold_odd(F.col("surface"))), "unit_id", "indexed_at", "pos")
+    t = t.withColumn("end_char", F.col("end_char") + F.col("start_char") + F.coalesce(F.length("surface"), F.lit(0)))
     return t.filter("surface IS NOT NULL").withColumn("surface", F.coalesce("__folded", fold_ascii(F.col("surface")))).drop("__folded")
 
 
