@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quirewise.llm import distinctive, encoding, mixing, vocabulary
+from quirewise.llm import distinctive, encoding, mixing, neighbours, vocabulary
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
     "p1_vocabulary": vocabulary.p1_vocabulary,
     "p2_found": distinctive.p2_found,
     "p2_distinctive": distinctive.p2_distinctive,
+    "p3_found": neighbours.p3_found,
+    "p3_nearest": neighbours.p3_nearest,
     "p6_ids": encoding.p6_ids,
     "p6_decoded": encoding.p6_decoded,
     "p7_found": mixing.p7_found,
