@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirewise.llm import distinctive, encoding, mixing, neighbours, vocabulary
+from quirewise.llm import cooccurrence, distinctive, encoding, mixing, neighbours, vocabulary
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p2_distinctive": distinctive.p2_distinctive,
     "p3_found": neighbours.p3_found,
     "p3_nearest": neighbours.p3_nearest,
+    "p4_found": cooccurrence.p4_found,
+    "p4_together": cooccurrence.p4_together,
     "p6_ids": encoding.p6_ids,
     "p6_decoded": encoding.p6_decoded,
     "p7_found": mixing.p7_found,
