@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirewise.llm import cooccurrence, distinctive, encoding, mixing, neighbours, vocabulary
+from quirewise.llm import cooccurrence, distinctive, encoding, mixing, neighbours, spans, vocabulary
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
@@ -13,6 +13,9 @@ QUERIES = {
     "p3_nearest": neighbours.p3_nearest,
     "p4_found": cooccurrence.p4_found,
     "p4_together": cooccurrence.p4_together,
+    "p5_found": spans.p5_found,
+    "p5_spans": spans.p5_spans,
+    "p5_coverage": spans.p5_coverage,
     "p6_ids": encoding.p6_ids,
     "p6_decoded": encoding.p6_decoded,
     "p7_found": mixing.p7_found,
