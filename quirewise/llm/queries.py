@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirewise.llm import cooccurrence, distinctive, encoding, mixing, neighbours, spans, vocabulary
+from quirewise.llm import cooccurrence, distinctive, encoding, mixing, neighbours, spans, subjects, vocabulary
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
@@ -21,6 +21,9 @@ QUERIES = {
     "p7_found": mixing.p7_found,
     "p7_shares": mixing.p7_shares,
     "p7_picks": mixing.p7_picks,
+    "p8_found": subjects.p8_found,
+    "p8_subjects": subjects.p8_subjects,
+    "p8_composition": subjects.p8_composition,
 }
 
 ORACLE: dict[str, str] = {
