@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: letters and digits, joined inside by an apostrophe, a no-break space or a full stop before a letter.
 #: Free of look-around, so that Java and RE2 agree.
@@ -26,7 +27,7 @@ def fold_py(s: str) -> str:
     return s if s == "I" else s.lower()
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _fold_arrow(v: pa.Array) -> pa.Array:
     d = v.dictionary_encode()
     if isinstance(d, pa.ChunkedArray):
