@@ -116,21 +116,31 @@ def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
 
 def align_trees(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tuple[str, str, bool, bool]]:
     """path, title, in_a, in_b of two lists of (path, title) in reading order: siblings are aligned level by level, what
-    only one side has keeps its children; the title is b's where both have the section."""
-    def children(rows):
-        kids: dict[str, list[tuple[str, str]]] = {}
-        for path, title in rows:
-            kids.setdefault(path.rpartition("/")[0], []).append((path, title))
-        return kids
-
-    ka, kb = children(a), children(b)
+    only one side has keeps its children; the title is b's where both have the section. A section that is only named
+    in the paths below it holds them together, but has no row."""
+
+    def tree(rows):
+        kids: dict[str, list[str]] = {}
+        seen: set[str] = set()
+        for path, _ in rows:
+            parts = path.split("/")
+            for n in range(1, len(parts) + 1):
+                at = "/".join(parts[:n])
+                if at not in seen:
+                    seen.add(at)
+                    kids.setdefault("/".join(parts[: n - 1]), []).append(at)
+        return kids, dict(rows)
+
+    (ka, ta), (kb, tb) = tree(a), tree(b)
     out: list[tuple[str, str, bool, bool]] = []
 
     def walk(parent: str, in_a: bool, in_b: bool) -> None:
         left, right = ka.get(parent, []) if in_a else [], kb.get(parent, []) if in_b else []
-        for i, j in align([p for p, _ in left], [p for p, _ in right]):
-            path, title = right[j] if j is not None else left[i]
-            out.append((path, title, i is not None, j is not None))
+        for i, j in align(left, right):
+            path = right[j] if j is not None else left[i]
+            here_a, here_b = i is not None and path in ta, j is not None and path in tb
+            if here_a or here_b:
+                out.append((path, tb[path] if here_b else ta[path], here_a, here_b))
             walk(path, i is not None, j is not None)
 
     walk("", True, True)

@@ -136,9 +136,9 @@ def ranked(corpus: Corpus, first: DataFrame, n: int, scope: DataFrame) -> DataFr
     the corpus come before scoping; lengths are those of the edited text."""
     u = corpus.units.select("unit_id", "edition_id", "path_key", "section_title", "block_id", "is_title", F.coalesce("token_count", F.lit(0)).alias("length"))
     tf = first.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    whole = u.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"))
+    whole = u.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).alias("z")).scalar()
     df = tf.agg(F.count(F.lit(1))).scalar()
-    total, mean = whole.select("n").scalar(), whole.select("avg").scalar()
+    total, mean = whole["n"], whole["avg"]
     idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
     hits = u.join(tf, "unit_id").join(scope.select("edition_id"), "edition_id", "left_semi")
     score = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))) * F.when(F.col("is_title"), TITLE).otherwise(1.0)

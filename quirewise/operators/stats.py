@@ -27,8 +27,8 @@ def keyness(corpus: Corpus, target: DataFrame, reference: DataFrame, match: str
     over-use. exact: terms are surfaces, else lemmas of the resolved readings (a contraction counts under each). target,
     reference: edition_id; an edition in both belongs to the target. Sizes are token counts of the edited text."""
     side = target.select("edition_id", F.lit(1).alias("side")).unionByName(reference.join(target, "edition_id", "left_anti").select("edition_id", F.lit(0).alias("side"))).distinct()
-    sized = corpus.units.join(side, "edition_id").agg(F.sum(F.when(F.col("side") == 1, F.col("token_count"))).alias("t"), F.sum(F.when(F.col("side") == 0, F.col("token_count"))).alias("r"))
-    big_t, big_r = (F.coalesce(sized.select(c).scalar(), F.lit(0)).cast("double") for c in ("t", "r"))
+    sized = corpus.units.join(side, "edition_id").agg(F.struct(F.sum(F.when(F.col("side") == 1, F.col("token_count"))).alias("t"), F.sum(F.when(F.col("side") == 0, F.col("token_count"))).alias("r")).alias("z")).scalar()
+    big_t, big_r = (F.coalesce(sized[c], F.lit(0)).cast("double") for c in ("t", "r"))
     tokens = corpus.version(version).select("edition_id", "surface", "reading_idx").join(side, "edition_id")
     if match == "exact":
         terms = tokens.select("side", F.col("surface").alias("term"))
@@ -63,7 +63,8 @@ def collocations(corpus: Corpus, q: str, scope: DataFrame, match: str = "form",
     w = Window.partitionBy("unit_id").orderBy("pos")
     at = F.when(F.col("node"), F.col("pos"))
     before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # Looked for from the other end, as a frame that runs to the end is evaluated anew for each row.
+    after = F.last(at, ignorenulls=True).over(Window.partitionBy("unit_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
     near = F.coalesce(F.col("pos") - before <= window, F.lit(False)) | F.coalesce(after - F.col("pos") <= window, F.lit(False))
     t = t.withColumn("near", near & ~F.col("node"))
     if by == "lemma":
@@ -72,8 +73,8 @@ def collocations(corpus: Corpus, q: str, scope: DataFrame, match: str = "form",
     else:
         groups = t.groupBy("surface", "node").agg(F.count(F.lit(1)).alias("c1"), F.sum(F.col("near").cast("long")).alias("o11")).withColumn("term", F.col("surface"))
     g = groups.groupBy("term").agg(F.sum("c1").alias("total"), F.sum("o11").alias("cooccurrence"), F.max("node").alias("own"))
-    sums = groups.agg(F.sum("c1").alias("n"), F.sum("o11").alias("r"))
-    n, r1 = (sums.select(c).scalar().cast("double") for c in ("n", "r"))
+    sums = groups.agg(F.struct(F.sum("c1").alias("n"), F.sum("o11").alias("r")).alias("z")).scalar()
+    n, r1 = (sums[c].cast("double") for c in ("n", "r"))
     o, c1 = F.col("cooccurrence").cast("double"), F.col("total").cast("double")
     g = g.filter(~F.col("own") & (o >= least) & (r1 > 0))
     o12, o21 = r1 - o, c1 - o

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +24,8 @@ class Corpus:
     members: DataFrame
     works: DataFrame | None = None
     authors: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
+    #: The compiled vocabulary, where there is one.
+    compiled: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -48,6 +49,8 @@ class Corpus:
     @cached_property
     def vocabulary_readings(self) -> DataFrame:
         """The same of every printed surface: its own entry, else that of a possessive's base, else its own words."""
+        if self.compiled is not None:
+            return self.compiled
         printed = self.tokens.select("surface").distinct()
         reg = self.register
         known = reg.select("surface").distinct()
@@ -83,8 +86,8 @@ def derived_members(editions: DataFrame) -> DataFrame:
     return left.join(right, ["host_slug", "b"]).select("edition_id", "member_id")
 
 
-def load(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus in the Parquet tables of a folder."""
+def read(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus in the Parquet tables of a folder, nothing computed yet."""
     e = tables.counted_editions(spark, sf_dir)
     cols = ["edition_id", "unit_id", "pos", "surface", "is_capital", "reading_idx", "start_char", "end_char"]
     return Corpus(
@@ -92,7 +95,7 @@ def load(spark: SparkSession, sf_dir: str) -> Corpus:
         units=tables.counted_units(spark, sf_dir),
         tokens=tables.run_tokens(spark, sf_dir).select(*cols),
         originals=tables.run_tokens(spark, sf_dir, "original").select(*cols),
-        readings=tables.table(spark, sf_dir, "readings"),
+        readings=tables.table(spark, sf_dir, "readings").dropDuplicates(),
         members=derived_members(e.select("edition_id", "host_slug", "work", "canonical")),
         works=tables.table(spark, sf_dir, "works").dropDuplicates(),
         authors=tables.table(spark, sf_dir, "authors").dropDuplicates(),
