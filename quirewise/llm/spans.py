@@ -6,8 +6,8 @@ its anchors, and what lies between two of them is a token. A chain of tokens fro
 span SPAN = least - 2 * (W - 1) characters, is an edge of the graph; any shared run of `least` characters
 holds one whole edge at least, the same in either text. Edges of several texts are kept; where each edge of a
 path is followed by one edge only, and that preceded by it only, the path doesn't branch and is one unitig,
-with the same sources throughout. Edges meet their statistics in a join, paths are put together along the
-source coordinates of each text.
+with the same sources throughout. Equal edges meet in one exchange, which tells what goes before and after
+them; paths are put together along the source coordinates of each text.
 
 Verification. A window of `least` characters that two texts share lies in a unitig or sticks out of its end, and
 then holds its first or last edge whole. So for each unitig in each text the windows over its ends, and one
@@ -146,10 +146,12 @@ class SharedSpans:
             raise ValueError(f"least must be at least {2 * w + k}")
         self.least = least
         self.texts = stage(_spread(texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")), "texts")
-        e = self.texts.mapInArrow(_edges(least, k, w), "id long, i int, start int, end int, label long, prev long, next long").repartition("label")
-        one = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
-        stats = e.groupBy("label").agg((F.min("id") < F.max("id")).alias("shared"), one("prev").alias("one_in"), one("next").alias("one_out")).filter("shared").drop("shared")
-        kept = e.join(stats.hint("shuffle_hash"), "label").select("id", "i", "start", "end", "one_in", "one_out")
+        e = self.texts.mapInArrow(_edges(least, k, w), "id long, i int, start int, end int, label long, prev long, next long")
+        # One exchange by label brings an edge to its like: what they have in common is read beside them.
+        like = Window.partitionBy("label")
+        one = lambda c: (F.count(c).over(like) == F.count(F.lit(1)).over(like)) & (F.min(c).over(like) == F.max(c).over(like))
+        told = e.select("id", "i", "start", "end", one("prev").alias("one_in"), one("next").alias("one_out"), (F.min("id").over(like) < F.max("id").over(like)).alias("shared"))
+        kept = told.filter("shared").drop("shared")
         by = Window.partitionBy("id").orderBy("i")
         joined = (F.lag("i").over(by) == F.col("i") - 1) & F.lag("one_out").over(by) & F.col("one_in")
         path = F.sum(F.when(joined, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
