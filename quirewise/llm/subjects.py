@@ -29,6 +29,8 @@ from quirewise.sources.corpus import table
 BITS, LABELLED, ROUNDS = 18, 50_000, 4
 #: Smoothing of the complement counts, and the posterior at which a sentence counts as treating a subject.
 SMOOTH, SURE = 0.1, 0.6
+#: A sentence's posterior of a subject below this adds nothing to the counts.
+TRACE = 1e-4
 #: Bins of the calibration, weight of all subjects' rate in that of one, and the posterior that makes a row.
 SHARES, PRIOR, ACCEPTED = 20, 10.0, 0.5
 
@@ -117,7 +119,17 @@ def _counts(model, labels_of, sure: float, bits: int, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, labels = labels_of.value
         weights = None if first else model.value
-        total = np.zeros((1 << bits, labels.shape[1]))
+        subjects = labels.shape[1]
+        total = np.zeros((1 << bits) * subjects)
+        keys: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+
+        def settle() -> None:
+            if keys:
+                total[:] += np.bincount(np.concatenate(keys), weights=np.concatenate(parts), minlength=len(total))
+                keys.clear()
+                parts.clear()
+
         for ids, s in _slices(batches):
             if not len(s.starts):
                 continue
@@ -128,9 +140,16 @@ def _counts(model, labels_of, sure: float, bits: int, first: bool):
             else:
                 p = s.posteriors(weights)
                 r = np.where((p.max(1) > sure)[:, None] | marked[s.row][:, None], p, 0)
-            word = np.repeat(r, s.size, axis=0)
-            for c in range(total.shape[1]):
-                total[:, c] += np.bincount(s.bins, weights=word[:, c], minlength=1 << bits)
+            # Most sentences are of one subject: only the others' traces are left out.
+            at, c = np.nonzero(r > TRACE)
+            size = s.size[at]
+            word = np.repeat(s.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            keys.append(s.bins[word].astype(np.int64) * subjects + np.repeat(c, size))
+            parts.append(np.repeat(r[at, c], size))
+            if sum(map(len, keys)) > 2_000_000:
+                settle()
+        settle()
+        total = total.reshape(1 << bits, subjects)
         bins = np.flatnonzero(total.sum(1) > 0)
         if len(bins):
             yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(total[bins].ravel()), total.shape[1]).cast(pa.list_(pa.float64()))], names=["bin", "n"])
