@@ -138,11 +138,10 @@ def ranked(corpus: Corpus, first: DataFrame, n: int, scope: DataFrame) -> DataFr
     tf = first.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     whole = u.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).alias("z")).scalar()
     df = tf.agg(F.count(F.lit(1))).scalar()
-    total, mean = whole["n"], whole["avg"]
-    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
     hits = u.join(tf, "unit_id").join(scope.select("edition_id"), "edition_id", "left_semi")
-    score = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))) * F.when(F.col("is_title"), TITLE).otherwise(1.0)
-    return hits.withColumn("score", score)
+    hits = hits.withColumns({"df": df, "z": whole}).withColumns({"idf": F.log(1 + (F.col("z.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), "mean": F.col("z.avg")})
+    score = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))) * F.when(F.col("is_title"), TITLE).otherwise(1.0)
+    return hits.withColumn("score", score).drop("df", "z", "idf", "mean")
 
 
 def page(df: DataFrame, order: list, number: int = 1, size: int = 20, most: int = 100) -> DataFrame:

@@ -28,7 +28,6 @@ def keyness(corpus: Corpus, target: DataFrame, reference: DataFrame, match: str
     reference: edition_id; an edition in both belongs to the target. Sizes are token counts of the edited text."""
     side = target.select("edition_id", F.lit(1).alias("side")).unionByName(reference.join(target, "edition_id", "left_anti").select("edition_id", F.lit(0).alias("side"))).distinct()
     sized = corpus.units.join(side, "edition_id").agg(F.struct(F.sum(F.when(F.col("side") == 1, F.col("token_count"))).alias("t"), F.sum(F.when(F.col("side") == 0, F.col("token_count"))).alias("r")).alias("z")).scalar()
-    big_t, big_r = (F.coalesce(sized[c], F.lit(0)).cast("double") for c in ("t", "r"))
     tokens = corpus.version(version).select("edition_id", "surface", "reading_idx").join(side, "edition_id")
     if match == "exact":
         terms = tokens.select("side", F.col("surface").alias("term"))
@@ -37,6 +36,8 @@ def keyness(corpus: Corpus, target: DataFrame, reference: DataFrame, match: str
         # An exempt word that is no lemma of the vocabulary has no group here.
         terms = terms.join(corpus.vocabulary_readings.select(F.col("lemma").alias("term")).distinct(), "term", "left_semi")
     g = terms.groupBy("term").agg(F.sum("side").alias("target"), F.sum(1 - F.col("side")).alias("reference"))
+    g = g.withColumn("z", sized).withColumns({"big_t": F.coalesce("z.t", F.lit(0)).cast("double"), "big_r": F.coalesce("z.r", F.lit(0)).cast("double")})
+    big_t, big_r = F.col("big_t"), F.col("big_r")
     a, b = F.col("target").cast("double"), F.col("reference").cast("double")
     e1, e2 = big_t * (a + b) / (big_t + big_r), big_r * (a + b) / (big_t + big_r)
     g = g.filter((big_t > 0) & (big_r > 0) & (a >= least) & (a / big_t > b / big_r))
@@ -74,7 +75,9 @@ def collocations(corpus: Corpus, q: str, scope: DataFrame, match: str = "form",
         groups = t.groupBy("surface", "node").agg(F.count(F.lit(1)).alias("c1"), F.sum(F.col("near").cast("long")).alias("o11")).withColumn("term", F.col("surface"))
     g = groups.groupBy("term").agg(F.sum("c1").alias("total"), F.sum("o11").alias("cooccurrence"), F.max("node").alias("own"))
     sums = groups.agg(F.struct(F.sum("c1").alias("n"), F.sum("o11").alias("r")).alias("z")).scalar()
-    n, r1 = (sums[c].cast("double") for c in ("n", "r"))
+    # As columns, not as subqueries in each of the many places that use them, which would all be planned.
+    g = g.withColumn("z", sums).withColumns({"n": F.col("z.n").cast("double"), "r1": F.col("z.r").cast("double")})
+    n, r1 = F.col("n"), F.col("r1")
     o, c1 = F.col("cooccurrence").cast("double"), F.col("total").cast("double")
     g = g.filter(~F.col("own") & (o >= least) & (r1 > 0))
     o12, o21 = r1 - o, c1 - o

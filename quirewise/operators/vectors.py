@@ -29,7 +29,7 @@ def tfidf(corpus: Corpus, counts: DataFrame | None = None) -> DataFrame:
     c = counts if counts is not None else lemma_counts(corpus)
     n = sections_with_text(corpus).agg(F.count(F.lit(1)).cast("double")).scalar()
     df = c.groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
-    w = c.join(df, "lemma").withColumn("raw", (1 + F.log("c")) * (F.log((n + 1) / (F.col("df") + 1)) + 1))
+    w = c.join(df, "lemma").withColumn("n", n).withColumn("raw", (1 + F.log("c")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("edition_id", "path_key")))
     return w.select("edition_id", "path_key", "lemma", "c", "raw", (F.col("raw") / norm).cast("float").alias("weight"))
 
@@ -56,6 +56,6 @@ def similar(corpus: Corpus, author: str, work: str, level: str | None = None, pa
     # One exchange by lemma: the goal has a row a lemma, so no key of the join is hot on both sides.
     d = v.join(goal, "lemma", "left").groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.min("first").alias("first"))
     xx = goal.agg(F.sum(F.col("x") * F.col("x"))).scalar()
-    d = d.withColumn("score", half_up(F.col("dot") / F.sqrt(F.col("yy") * xx), 4)).filter("dot > 0 AND yy > 0")
+    d = d.filter("dot > 0 AND yy > 0").withColumn("xx", xx).withColumn("score", half_up(F.col("dot") / F.sqrt(F.col("yy") * F.col("xx")), 4))
     cols = [F.col(k) if k in keys else F.lit(None).cast("bigint" if k == "edition_id" else "string").alias(k) for k in ("host_slug", "work", "edition_id", "path_key")]
     return d.orderBy(F.desc("score"), "first", *keys).limit(max(1, min(limit, 200))).select(*cols, "score")
