@@ -45,7 +45,7 @@ def parse_query(q: str, fused: set[str] | frozenset[str] = frozenset()) -> list[
 
 def fused_surfaces(corpus: Corpus) -> set[str]:
     """Printed surfaces of several words: few, as they come from the register; they go to the driver for parsing."""
-    return {r[0] for r in corpus.tokens.filter(F.instr("surface", " ") > 0).select("surface").distinct().collect()}
+    return {r[0] for r in corpus.vocabulary_readings.filter(F.instr("surface", " ") > 0).select("surface").distinct().collect()}
 
 
 def bucket(corpus: Corpus, surface: str) -> tuple[str, str]:

@@ -28,7 +28,7 @@ CTES = {
     "au": "SELECT DISTINCT * FROM authors",
     "rd": "SELECT DISTINCT surface, reading_idx, word_idx, coalesce(spelling, surface) AS spelling, coalesce(lemma, spelling, surface) AS lemma FROM readings",
     "rl": "SELECT surface, reading_idx, list(lemma ORDER BY word_idx) AS lemmas, string_agg(spelling, ' ' ORDER BY word_idx) AS spelling FROM rd GROUP BY 1, 2",
-    "printed": "SELECT DISTINCT surface FROM tk",
+    "printed": "SELECT surface FROM tk UNION SELECT surface FROM tor WHERE unit_id IN (SELECT unit_id FROM un WHERE has_editorial)",
     "vr": """SELECT surface, reading_idx, word_idx, spelling, lemma FROM rd WHERE surface IN (SELECT surface FROM printed)
     UNION ALL SELECT p.surface, r.reading_idx, 0, r.spelling || '''s', array_to_string(r.lemmas, ' ') FROM printed p JOIN rl r ON r.surface = p.surface[:-3]
       WHERE p.surface LIKE '%''s' AND p.surface NOT IN (SELECT surface FROM rd)
@@ -44,7 +44,7 @@ CTES = {
 }
 
 #: What each of them reads.
-NEEDS = {"torig": ["tk", "tor", "un"], "rl": ["rd"], "printed": ["tk"], "vr": ["rd", "rl", "printed"], "tl": ["tk", "rl"], "mem": ["ed"], "sec": ["un"], "who": ["ed"], "what": ["ed", "who"]}
+NEEDS = {"torig": ["tk", "tor", "un"], "rl": ["rd"], "printed": ["tk", "tor", "un"], "vr": ["rd", "rl", "printed"], "tl": ["tk", "rl"], "mem": ["ed"], "sec": ["un"], "who": ["ed"], "what": ["ed", "who"]}
 
 
 def sql(body: str, *names: str, original: bool = False, **more: str) -> str:

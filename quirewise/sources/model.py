@@ -46,12 +46,18 @@ class Corpus:
         r = self.readings.dropDuplicates().filter("surface IS NOT NULL")
         return r.select("surface", "reading_idx", "word_idx", F.coalesce("spelling", "surface").alias("spelling"), F.coalesce("lemma", "spelling", "surface").alias("lemma"))
 
+    @cached_property
+    def printed(self) -> DataFrame:
+        """Each surface of the edited texts, and of the original ones where editors touched them."""
+        touched = self.units.filter("has_editorial").select("unit_id")
+        return self.tokens.select("surface").unionByName(self.originals.join(touched, "unit_id", "left_semi").select("surface")).distinct()
+
     @cached_property
     def vocabulary_readings(self) -> DataFrame:
         """The same of every printed surface: its own entry, else that of a possessive's base, else its own words."""
         if self.compiled is not None:
             return self.compiled
-        printed = self.tokens.select("surface").distinct()
+        printed = self.printed
         reg = self.register
         known = reg.select("surface").distinct()
         own = printed.join(reg, "surface")
