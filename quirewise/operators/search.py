@@ -107,6 +107,8 @@ def starts(slotted: DataFrame, n: int) -> DataFrame:
     """edition_id, unit_id, pos of the first token of each match of an n-word phrase: one exchange by unit, whatever n."""
     if n == 1:
         return slotted.filter("m0").select("edition_id", "unit_id", "pos")
+    # Only tokens that stand for some word of the phrase are sorted: of a match, none is missing between.
+    slotted = slotted.filter(" OR ".join(f"m{i}" for i in range(n)))
     w = Window.partitionBy("unit_id").orderBy("pos")
     ok: Column = F.col("m0")
     for i in range(1, n):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.text import half_up
 from quirewise.operators.search import expand, parse_query
+from quirewise.session import stage
 from quirewise.sources.model import Corpus
 
 
@@ -73,6 +74,7 @@ def collocations(corpus: Corpus, q: str, scope: DataFrame, match: str = "form",
         groups = t.groupBy("surface", "node").agg(F.count(F.lit(1)).alias("c1"), F.sum(F.col("near").cast("long")).alias("o11")).join(first, "surface", "left").withColumn("term", F.coalesce("term", "surface"))
     else:
         groups = t.groupBy("surface", "node").agg(F.count(F.lit(1)).alias("c1"), F.sum(F.col("near").cast("long")).alias("o11")).withColumn("term", F.col("surface"))
+    groups = stage(groups, "collocates")  # a row a surface: read for the sums and for the terms
     g = groups.groupBy("term").agg(F.sum("c1").alias("total"), F.sum("o11").alias("cooccurrence"), F.max("node").alias("own"))
     sums = groups.agg(F.struct(F.sum("c1").alias("n"), F.sum("o11").alias("r")).alias("z")).scalar()
     # As columns, not as subqueries in each of the many places that use them, which would all be planned.

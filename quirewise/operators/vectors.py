@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions.text import half_up
+from quirewise.session import stage
 from quirewise.sources.model import Corpus
 
 LEVELS = ("section", "edition", "work")
@@ -34,6 +35,13 @@ def tfidf(corpus: Corpus, counts: DataFrame | None = None) -> DataFrame:
     return w.select("edition_id", "path_key", "lemma", "c", "raw", (F.col("raw") / norm).cast("float").alias("weight"))
 
 
+def stored(corpus: Corpus) -> DataFrame:
+    """tfidf() of a corpus, computed and staged when it is first asked for."""
+    if corpus.weights is None:
+        corpus.weights = stage(tfidf(corpus), "weights")
+    return corpus.weights
+
+
 def similar(corpus: Corpus, author: str, work: str, level: str | None = None, path: str | None = None, edition: str | None = None, limit: int = 20, weights: DataFrame | None = None) -> DataFrame:
     """host_slug, work, edition_id, path_key, score of the canonical items most like the target, which is the author's work: its
     canonical edition or the named one (the work level takes the canonical one), or a section of it. The target's own
@@ -45,7 +53,7 @@ def similar(corpus: Corpus, author: str, work: str, level: str | None = None, pa
     mine = F.array_contains("authors", author) & (F.col("work") == work)
     one = mine & (F.col("canonical") if edition is None or level == "work" else F.col("edition") == edition)
     target = ed.filter(one).orderBy("edition_id").limit(1).select("edition_id")
-    w = (weights if weights is not None else tfidf(corpus)).select("edition_id", "path_key", "lemma", F.col("weight").cast("double").alias("weight"))
+    w = (weights if weights is not None else stored(corpus)).select("edition_id", "path_key", "lemma", F.col("weight").cast("double").alias("weight"))
     goal = w.join(target, "edition_id", "left_semi")
     if level == "section":
         goal = goal.filter(F.col("path_key") == (path or "").lower())

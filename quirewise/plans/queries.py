@@ -493,12 +493,12 @@ def topic_columns(c: Corpus) -> DataFrame:
 
 @query()
 def topics_terms(c: Corpus) -> DataFrame:
-    return topics.train(c, vectors.tfidf(c))[0]
+    return topics.train(c, vectors.stored(c))[0]
 
 
 @query()
 def topics_mix(c: Corpus) -> DataFrame:
-    return topics.train(c, vectors.tfidf(c))[1]
+    return topics.train(c, vectors.stored(c))[1]
 
 
 def _mix(spark: SparkSession, d: str) -> DataFrame:

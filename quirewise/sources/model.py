@@ -26,6 +26,8 @@ class Corpus:
     authors: DataFrame | None = None
     #: The compiled vocabulary, where there is one.
     compiled: DataFrame | None = None
+    #: The sections' lemma weights, once they were asked for.
+    weights: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

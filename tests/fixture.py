@@ -50,7 +50,7 @@ REGISTER = {
 }
 
 
-def build(spark, editions=EDITIONS, units=UNITS, register=REGISTER, original=ORIGINAL, members=((4, 2),), host="test") -> Corpus:
+def build(spark, editions=EDITIONS, units=UNITS, register=REGISTER, original=ORIGINAL, members=((4, 2),), host="test", more=()) -> Corpus:
     ed = spark.createDataFrame([(i, host, w, e, [host], [host], c) for i, w, e, c in editions], "edition_id long, host_slug string, work string, edition string, authors array<string>, author_names array<string>, canonical boolean")
     rows = [(n, e, p, b, t, original.get(n)) for n, (e, p, b, t) in enumerate(units, 1)]
     u = spark.createDataFrame([(n, e, p, None, b, b == "title", o is not None, t, o) for n, e, p, b, t, o in rows], "unit_id long, edition_id long, path_key string, section_title string, block_id string, is_title boolean, has_editorial boolean, text_edited string, text_original string")
@@ -63,8 +63,10 @@ def build(spark, editions=EDITIONS, units=UNITS, register=REGISTER, original=ORI
     edited = tokens("text_edited")
     u = u.join(edited.groupBy("unit_id").agg(F.count("*").alias("token_count")), "unit_id", "left").na.fill(0, ["token_count"]).cache()
     r = [(s, 0, i, sp, le) for s, ws in register.items() for i, (sp, le) in enumerate(ws)]
-    rd = spark.createDataFrame(r, "surface string, reading_idx int, word_idx int, spelling string, lemma string")
+    rd = spark.createDataFrame(r + list(more), "surface string, reading_idx int, word_idx int, spelling string, lemma string")
     m = spark.createDataFrame(list(members), "edition_id long, member_id long")
     works = spark.createDataFrame([(host, w, [host], w, next(e for _, x, e, c in editions if x == w and c)) for w in sorted({w for _, w, _, _ in editions})], "host_slug string, work string, author_slugs array<string>, title string, canonical_slug string")
     authors = spark.createDataFrame([(host, "Author"), ("other", "Other")], "slug string, surname string")
-    return Corpus(ed, u, edited, tokens("text_original"), rd, m, works, authors)
+    c = Corpus(ed, u, edited, tokens("text_original"), rd.cache(), m, works, authors)
+    c.compiled = c.vocabulary_readings.coalesce(1).cache()
+    return c

@@ -99,9 +99,7 @@ def test_case(corpus):
 
 def test_dictionary_nets(spark):
     reg = {"humane": [(None, None)], "human": [(None, None)], "lie": [(None, None)], "lay": [(None, None)]}
-    c = build(spark, [(1, "amb", "1700", True)], [(1, "", "1", "Humane men lay."), (1, "", "2", "A human humane deed.")], reg, {}, [(9, 9)])
-    more = spark.createDataFrame([("humane", 1, 0, "human", "human"), ("lay", 1, 0, "lay", "lie")], c.readings.schema)
-    c.readings = c.readings.unionByName(more)
+    c = build(spark, [(1, "amb", "1700", True)], [(1, "", "1", "Humane men lay."), (1, "", "2", "A human humane deed.")], reg, {}, [(9, 9)], more=[("humane", 1, 0, "human", "human"), ("lay", 1, 0, "lay", "lie")])
     assert len(hits(c, "human", "spelling")) == 2 and len(hits(c, "human", "spelling", resolved=True)) == 1
     assert len(hits(c, "lie")) == 1 and not hits(c, "lie", resolved=True)
 
