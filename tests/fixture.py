@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from quirewise.session import stage
+from quirewise.sources.artefacts import compiled
 from quirewise.sources.model import Corpus, from_documents
 
 N = " "
@@ -58,15 +60,15 @@ def build(spark, editions=EDITIONS, units=UNITS, register=REGISTER, original=ORI
     def tokens(column):
         t = from_documents(u.filter(F.col(column).isNotNull()).select(F.col("unit_id").alias("doc_id"), F.col(column).alias("text")))
         t = t.select(F.col("doc_id").alias("unit_id"), "pos", "surface", "is_capital", F.lit(0).alias("reading_idx"), F.lit(0).cast("long").alias("start_char"), F.lit(0).cast("long").alias("end_char"))
-        return t.join(u.select("unit_id", "edition_id"), "unit_id").select("edition_id", "unit_id", "pos", "surface", "is_capital", "reading_idx", "start_char", "end_char").cache()
+        return t.join(u.select("unit_id", "edition_id"), "unit_id").select("edition_id", "unit_id", "pos", "surface", "is_capital", "reading_idx", "start_char", "end_char")
 
     edited = tokens("text_edited")
-    u = u.join(edited.groupBy("unit_id").agg(F.count("*").alias("token_count")), "unit_id", "left").na.fill(0, ["token_count"]).cache()
+    u = u.join(edited.groupBy("unit_id").agg(F.count("*").alias("token_count")), "unit_id", "left").na.fill(0, ["token_count"])
     r = [(s, 0, i, sp, le) for s, ws in register.items() for i, (sp, le) in enumerate(ws)]
     rd = spark.createDataFrame(r + list(more), "surface string, reading_idx int, word_idx int, spelling string, lemma string")
     m = spark.createDataFrame(list(members), "edition_id long, member_id long")
     works = spark.createDataFrame([(host, w, [host], w, next(e for _, x, e, c in editions if x == w and c)) for w in sorted({w for _, w, _, _ in editions})], "host_slug string, work string, author_slugs array<string>, title string, canonical_slug string")
     authors = spark.createDataFrame([(host, "Author"), ("other", "Other")], "slug string, surname string")
-    c = Corpus(ed, u, edited, tokens("text_original"), rd.cache(), m, works, authors)
-    c.compiled = c.vocabulary_readings.coalesce(1).cache()
-    return c
+    # Staged: of tables in files Spark knows how small they are.
+    small = lambda df: stage(df.coalesce(1), "fixture")
+    return compiled(Corpus(small(ed), small(u), small(edited), small(tokens("text_original")), small(rd), small(m), small(works), small(authors)))
