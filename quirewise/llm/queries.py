@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quirewise.llm import cooccurrence, distinctive, encoding, mixing, neighbours, spans, subjects, vocabulary
+from quirewise.plans.prelude import sql
 
 QUERIES = {
     "p1_found": vocabulary.p1_found,
@@ -26,6 +27,28 @@ QUERIES = {
     "p8_composition": subjects.p8_composition,
 }
 
+_TERMS = {
+    "terms": "SELECT unit_id, 'surface' AS term_kind, surface AS term FROM tk UNION ALL SELECT unit_id, 'lemma', unnest(lemmas) FROM tl",
+    "voc": """SELECT term_kind, term, count(*) AS occurrences, count(DISTINCT unit_id) AS units, CASE WHEN count(DISTINCT unit_id) <= 2 THEN 'rare'
+    WHEN count(DISTINCT unit_id) > 0.2 * (SELECT count(DISTINCT unit_id) FROM tk) THEN 'common' END AS mark FROM terms GROUP BY 1, 2""",
+}
+
 ORACLE: dict[str, str] = {
+    "p1_found": sql("SELECT term_kind, term, mark FROM voc WHERE mark IS NOT NULL", "tl", **_TERMS),
+    "p1_vocabulary": sql("SELECT * FROM voc", "tl", **_TERMS),
+    "p2_found": sql(
+        "SELECT doc_id, surface FROM n WHERE tokens >= 60 AND weight >= 0.3",
+        "tk",
+        "un",
+        c="SELECT d.doc_id, t.surface, count(*) AS c FROM tk t JOIN (SELECT unit_id, edition_id, path_key FROM un) u USING (unit_id) JOIN (SELECT DISTINCT * FROM topic_docs) d ON d.edition_id = u.edition_id AND d.path_key = u.path_key GROUP BY 1, 2",
+        w="SELECT doc_id, surface, c, (1 + ln(c)) * (ln(((SELECT count(DISTINCT doc_id) FROM c) + 1) / (df + 1)) + 1) AS w FROM c JOIN (SELECT surface, count(*) AS df FROM c GROUP BY 1) USING (surface)",
+        n="SELECT doc_id, surface, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight, sum(c) OVER (PARTITION BY doc_id) AS tokens FROM w",
+    ),
+    "p4_found": sql(
+        "SELECT x.surface AS surface_a, y.surface AS surface_b FROM i x JOIN i y ON x.unit_id = y.unit_id AND x.surface < y.surface GROUP BY x.surface, y.surface HAVING count(*) >= 6 AND count(*) * (SELECT count(DISTINCT unit_id) FROM us) >= 20 * any_value(x.df) * any_value(y.df)",
+        "tk",
+        us="SELECT DISTINCT unit_id, surface FROM tk",
+        i="SELECT unit_id, surface, count(*) OVER (PARTITION BY surface) AS df FROM us",
+    ),
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
