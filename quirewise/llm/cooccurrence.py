@@ -6,12 +6,12 @@ all expected frequencies and sizes are the real ones. A pair's number of shared
 Bernoulli variables; its upper tail (Poisson-binomial, by saddle point) is the surprise, and false discoveries
 are controlled over all pairs of items (Benjamini-Hochberg).
 
-Scale. As n <= min(a, b), a pair with n * N >= lift * a * b holds no item in more than N / lift baskets, and one with
-n >= least no item in fewer than `least`: other items are left out before pairs are made, which loses none.
+Scale. Every pair that shares a basket is counted and scored, as the step-up rule ranks them all.
 Equal baskets are counted once, with their number. Baskets of more than BLOCK items are cut, so that a row holds two
 blocks of a basket, and rows are spread anew. Pairs are combined in the task that makes them. The model knows items and
 baskets only by their degree: the tables that reach the driver have a row for each distinct degree, at most
-sqrt(2 * incidences), degrees beyond EXACT falling into classes 1/1024 wide.
+sqrt(2 * incidences), degrees beyond EXACT falling into classes 1/1024 wide. Pairs of like degrees and number have one
+tail, worked out once and joined back.
 """
 
 from __future__ import annotations
@@ -70,6 +70,11 @@ def tail_log10(n: np.ndarray, p: np.ndarray, m: np.ndarray, rounds: int = 60) ->
     mean, top = (p * m).sum(1), m.sum()
     out = np.zeros(len(n))
     todo = np.flatnonzero((n > mean * (1 + 1e-6)) & (n > 0))
+    if not len(todo):
+        return out
+    one = n[todo] == 1  # in closed form
+    out[todo[one]] = np.log10(np.maximum(-np.expm1((m * np.log1p(-np.minimum(p[todo[one]], 1 - 1e-16))).sum(1)), 1e-300))
+    todo = todo[~one]
     if not len(todo):
         return out
     k, q = n[todo].astype(float), p[todo]
@@ -118,12 +123,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def combined() -> Iterator[pa.RecordBatch]:
-        a, b, n = (np.concatenate(x) for x in zip(*held))
-        ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-        key = code[: len(a)].astype(np.int64) * len(ids) + code[len(a) :]
-        uniq, at = np.unique(key, return_inverse=True)
-        times = np.bincount(at, weights=n).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[uniq // len(ids)]), pa.array(ids[uniq % len(ids)]), pa.array(times)], names=["a", "b", "n"])
+        t = pa.table(dict(zip("abn", (np.concatenate(x) for x in zip(*held)))))
+        t = t.group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).select(["a", "b", "n_sum"]).rename_columns(["a", "b", "n"])
+        yield from t.combine_chunks().to_batches()
 
     for batch in batches:
         if not batch.num_rows:
@@ -142,18 +144,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _surprise(d: np.ndarray, m: np.ndarray, x: np.ndarray, f: np.ndarray, y: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a1, b1, n = (b.column(c).to_numpy() for c in ("class_a", "class_b", "n"))
-            # Pairs of like degrees and number have one tail.
-            key, back = np.unique(np.stack([np.minimum(a1, b1), np.maximum(a1, b1), n.astype(float)], 1), axis=0, return_inverse=True)
-            back = back.ravel()
-            mean, tail = np.zeros(len(key)), np.zeros(len(key))
-            for at in range(0, len(key), 2000):
-                k = key[at : at + 2000]
-                ya, yb = (y[np.clip(np.searchsorted(f, k[:, c] - 1e-9), 0, len(f) - 1)][:, None] for c in (0, 1))
+            k = np.stack([b.column(c).to_numpy().astype(float) for c in ("low", "high", "n")], 1)
+            mean, tail = np.zeros(len(k)), np.zeros(len(k))
+            for at in range(0, len(k), 2000):
+                ya, yb = (y[np.clip(np.searchsorted(f, k[at : at + 2000, c] - 1e-9), 0, len(f) - 1)][:, None] for c in (0, 1))
                 p = (x * ya / (1 + x * ya)) * (x * yb / (1 + x * yb))
                 mean[at : at + 2000] = (p * m).sum(1)
-                tail[at : at + 2000] = tail_log10(k[:, 2], p, m)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("n"), pa.array(mean[back]), pa.array(tail[back])], names=["a", "b", "n", "expected", "log10_p"])
+                tail[at : at + 2000] = tail_log10(k[at : at + 2000, 2], p, m)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("low", "high", "n", "pairs")), pa.array(mean), pa.array(tail)], names=["low", "high", "n", "pairs", "expected", "log10_p"])
 
     return run
 
@@ -166,14 +164,14 @@ def discovery_limit(log10_p: np.ndarray, counts: np.ndarray, tests: float, share
     return float(log10_p[o][np.flatnonzero(ok)[-1]]) if ok.any() else -math.inf
 
 
-def together(incidence: DataFrame, least: int = LEAST, lift: float = LIFT, false_share: float = FALSE_SHARE, block: int = BLOCK) -> DataFrame:
-    """item_a < item_b, n, a, b, baskets, expected, lift, log10_p, significant of all pairs of items with n >= least shared
-    baskets and n * baskets >= lift * a * b (n, a and b exact).
+def together(incidence: DataFrame, least: int = 1, lift: float = 0, false_share: float = FALSE_SHARE, block: int = BLOCK) -> DataFrame:
+    """item_a < item_b, n, a, b, baskets, expected, lift, log10_p, significant of all pairs of items that share a basket; where
+    least or lift is given, only of those with n >= least shared baskets and n * baskets >= lift * a * b (n, a and b exact).
 
     incidence: basket (a whole number), item (a string); repeated rows count once, null baskets or items take no part.
     expected and log10_p come from the fitted null; significant: accepted at a false discovery share of false_share
-    over all pairs of items (those of fewer than `least` shared baskets count as tests that failed). Other columns
-    are ignored; an empty table gives no rows.
+    over all pairs of items, whatever least and lift (those that share no basket count as tests that failed). Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = incidence.sparkSession
     inc = incidence.select(F.col("basket").cast("long").alias("basket"), F.col("item").cast("string").alias("item")).filter("basket IS NOT NULL AND item IS NOT NULL").groupBy("basket", "item").agg(F.lit(1).alias("one")).drop("one")
@@ -185,27 +183,28 @@ def together(incidence: DataFrame, least: int = LEAST, lift: float = LIFT, false
     baskets, kinds = int(of_size.m.sum()), int(of_freq.m.sum())
     d, m, f, freq = (c.to_numpy(float) for c in (of_size.d, of_size.m, of_freq.d, of_freq.m))
     x, y = fit_null(d, m, f, freq) if baskets else (d, f)
-    able = items.filter((F.col("df") >= least) & (F.col("df") * lift <= baskets))
-    able = able.select("item", "id", "df")
-    few = F.broadcast if able.count() <= BROADCAST_ITEMS else (lambda t: t)
-    held = inc.join(few(able), "item").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    few = F.broadcast if kinds <= BROADCAST_ITEMS else (lambda t: t)
+    held = inc.join(few(items), "item").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
     held = held.groupBy("ids").agg(F.count(F.lit(1)).alias("times"))
     n_blocks = F.ceil(F.size("ids") / F.lit(block)).cast("int")
     cut = held.select("ids", "times", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"), n_blocks.alias("nb"))
     cut = cut.select("ids", "times", "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
     at = lambda c: F.slice("ids", F.col(c) * block + 1, F.lit(block))
     rows = cut.select(at("i").alias("left"), at("j").alias("right"), "times", (F.col("i") == F.col("j")).alias("same"))
-    counted = rows.repartition(F.xxhash64("left", "right")).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    side = lambda s: few(able.select(F.col("id").alias(s), F.col("item").alias(f"item_{s}"), F.col("df").alias(f"df_{s}")))
-    known = counted.join(side("a"), "a").join(side("b"), "b").filter(F.col("n") * baskets >= F.lit(lift) * F.col("df_a") * F.col("df_b"))
-    known = stage(known, "pairs")
-    tails = known.select("a", "b", "n", degree_class(F.col("df_a")).alias("class_a"), degree_class(F.col("df_b")).alias("class_b"))
-    scored = stage(tails.mapInArrow(_surprise(d, m, x, of_freq.k.to_numpy(float), y), "a long, b long, n long, expected double, log10_p double"), "scored")
-    bins = scored.groupBy(F.ceil(F.col("log10_p") * 1000).alias("bin")).count().toPandas()  # a bin each thousandth of a decade
-    limit = discovery_limit(bins["bin"].to_numpy(float) / 1000, bins["count"].to_numpy(), kinds * (kinds - 1) / 2, false_share)
+    counted = rows.repartition(F.xxhash64("left", "right")).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    degree = lambda s: few(items.select(F.col("id").alias(s), F.col("df").alias(f"df_{s}")))
+    known = stage(counted.join(degree("a"), "a").join(degree("b"), "b"), "pairs")
+    classes = [degree_class(F.col(c)) for c in ("df_a", "df_b")]
+    known = known.withColumns({"low": F.least(*classes), "high": F.greatest(*classes)})
+    tails = known.groupBy("low", "high", "n").agg(F.count(F.lit(1)).alias("pairs"))
+    scored = stage(tails.mapInArrow(_surprise(d, m, x, of_freq.k.to_numpy(float), y), "low double, high double, n long, pairs long, expected double, log10_p double"), "scored")
+    bins = scored.groupBy(F.ceil(F.col("log10_p") * 1000).alias("bin")).agg(F.sum("pairs").alias("pairs")).toPandas()  # a bin each thousandth of a decade
+    limit = discovery_limit(bins["bin"].to_numpy(float) / 1000, bins["pairs"].to_numpy(), kinds * (kinds - 1) / 2, false_share)
+    known = known.filter((F.col("n") >= least) & (F.col("n") * baskets >= F.lit(lift) * F.col("df_a") * F.col("df_b")))
+    name = lambda s: few(items.select(F.col("id").alias(s), F.col("item").alias(f"item_{s}")))
     swap = F.col("item_a") > F.col("item_b")
     pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-    return known.drop("n").join(scored, ["a", "b"]).select(
+    return known.join(scored.drop("pairs"), ["low", "high", "n"]).join(name("a"), "a").join(name("b"), "b").select(
         pick("item_a", "item_b").alias("item_a"),
         pick("item_b", "item_a").alias("item_b"),
         "n",

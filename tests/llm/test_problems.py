@@ -142,6 +142,30 @@ def test_together(spark):
     assert cooccurrence.together(df.limit(0)).count() == 0
 
 
+def test_together_ranks_every_pair(spark):
+    rng = random.Random(6)
+    rows = [(b, f"i{int(40 * rng.random() ** 2)}") for b in range(200) for _ in range(6)] + [(b, i) for b in range(190) for i in ("hot", "warm")] + [(b, i) for b in range(300, 306) for i in ("p", "q")] + [(400, "r"), (400, "s")]
+    df = spark.createDataFrame(rows, "basket long, item string")
+    baskets = defaultdict(set)
+    for b, i in rows:
+        baskets[b].add(i)
+    freq, both = Counter(i for s in baskets.values() for i in s), Counter(p for s in baskets.values() for p in itertools.combinations(sorted(s), 2))
+    got = {(r.item_a, r.item_b): r for r in cooccurrence.together(df).collect()}
+    assert {p: (r.n, r.a, r.b, r.baskets) for p, r in got.items()} == {p: (n, freq[p[0]], freq[p[1]], len(baskets)) for p, n in both.items()}
+    assert ("hot", "warm") in got and ("r", "s") in got and min(r.n for r in got.values()) == 1
+    ps, tests = sorted(10**r.log10_p for r in got.values()), len(freq) * (len(freq) - 1) / 2
+    limit = max((p for k, p in enumerate(ps, 1) if p * tests <= 0.01 * k), default=0)
+    assert {p for p, r in got.items() if r.significant} == {p for p, r in got.items() if 10**r.log10_p <= limit} != set()
+    some = {(r.item_a, r.item_b): r for r in cooccurrence.together(df, least=6, lift=20).collect()}
+    assert some and some == {p: r for p, r in got.items() if r.n >= 6 and r.n * r.baskets >= 20 * r.a * r.b}
+
+
+def test_tail_of_one():
+    p, m = np.array([[0.001, 0.02, 0.0]]), np.array([30.0, 5, 9])
+    want = 1 - 0.999**30 * 0.98**5
+    assert cooccurrence.tail_log10(np.array([1]), p, m)[0] == pytest.approx(math.log10(want), abs=1e-9)
+
+
 def test_tail():
     rng = np.random.default_rng(0)
     for _ in range(5):
