@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions.text import half_up
+from quirewise.session import partitions, stage, unstage
 from quirewise.sources.model import Corpus
 
 TOPICS, PASSES, COMMON, TINY = 24, 100, 0.5, 1e-10
@@ -18,10 +20,11 @@ DRIVER_WEIGHTS = 5_000_000
 
 
 class Mulberry:
-    """The 32-bit generator whose sequence the published weights rest on. Its seed and constants."""
+    """The 32-bit generator whose sequence the published weights rest on. Its seed and constants. It can
+    start after `skipped` numbers."""
 
-    def __init__(self, seed: int = 0x9E3779B9):
-        self.state = seed
+    def __init__(self, seed: int = 0x9E3779B9, skipped: int = 0):
+        self.state = (seed + 0x6D2B79F5 * skipped) & 0xFFFFFFFF
 
     def take(self, n: int) -> np.ndarray:
         word = 0xFFFFFFFF
@@ -47,21 +50,91 @@ def factorise(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, m:
     rng = Mulberry()
     w = rng.take(n * k).reshape(n, k) + TINY
     h = rng.take(k * m).reshape(k, m) + TINY
-    by_col = np.lexsort((rows, cols))
-    by_row = np.lexsort((cols, rows))
+    order = np.lexsort((cols, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    for _ in range(passes):
+        h *= by_column(rows, cols, values, w, m) / (w.T @ w @ h + TINY)
+        w *= by_row(rows, cols, values, h, n) / (w @ (h @ h.T) + TINY)
+    return w, h
+
+
+def by_column(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
+    """W'V (k x m), a topic at a time, so that no more than one number a weight is held."""
+    return np.stack([np.bincount(cols, weights=values * t[rows], minlength=m) for t in np.ascontiguousarray(w.T)])
+
+
+def by_row(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """VH' (n x k)."""
+    return np.stack([np.bincount(rows, weights=values * t[cols], minlength=n) for t in h], 1)
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row within the batch, column and value of each weight."""
+    c = b.column("cols")
+    return np.repeat(np.arange(b.num_rows), np.diff(c.offsets.to_numpy())), c.flatten().to_numpy(), b.column("vals").flatten().to_numpy()
+
+
+STATE = "row long, cols array<int>, vals array<double>, w array<double>"
+
+
+def _updated(k: int, h=None):
+    """One pass over the rows of W under H; without H, their seeded start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hh = None if h is None else h.value @ h.value.T
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = b.column("row").to_numpy()
+            if h is None:
+                w = np.stack([Mulberry(skipped=int(r) * k).take(k) for r in row]) + TINY
+            else:
+                w = b.column("w").flatten().to_numpy().reshape(-1, k)
+                w = w * by_row(*_flat(b), h.value, b.num_rows) / (w @ hh + TINY)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("cols"), b.column("vals"), _lists(w)], names=["row", "cols", "vals", "w"])
+
+    return run
 
-    def product(keys, other, size, order):
-        out = np.zeros((size, other.shape[1]))
-        key = keys[order]
-        if len(key):
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            out[key[first]] = np.add.reduceat(other[order] * values[order, None], first, axis=0)
-        return out
 
+def _lists(a: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
+
+
+def _gathered(k: int, m: int):
+    """A partition's share of W'V (the columns it holds) and, as columns m to m + k - 1, of W'W."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wv, ww, seen = np.zeros((k, m)), np.zeros((k, k)), np.zeros(m, bool)
+        for b in batches:
+            w = b.column("w").flatten().to_numpy().reshape(-1, k)
+            rows, cols, values = _flat(b)
+            wv += by_column(rows, cols, values, w, m)
+            ww += w.T @ w
+            seen[cols] = True
+        at = np.flatnonzero(seen)
+        col = np.concatenate([at, np.arange(m, m + k)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(col), _lists(np.concatenate([wv.T[at], ww]))], names=["col", "s"])
+
+    return run
+
+
+def factorise_apart(v: DataFrame, n: int, m: int, k: int, passes: int = PASSES) -> tuple[DataFrame, np.ndarray]:
+    """factorise() over the partitions of v (row, cols, vals): the rows of W (row, w) stay with those of v, H is broadcast, W'V
+    and W'W are aggregated. Sums depend on the order of partitions, so it equals factorise() but for rounding."""
+    spark = v.sparkSession
+    h = Mulberry(skipped=n * k).take(k * m).reshape(k, m) + TINY
+    state = stage(v.select("row", "cols", "vals").mapInArrow(_updated(k), STATE), "topics")
     for _ in range(passes):
-        h *= product(cols, w[rows], m, by_col).T / (w.T @ w @ h + TINY)
-        w *= product(rows, h.T[cols], n, by_row) / (w @ (h @ h.T) + TINY)
-    return w, h
+        parts = state.mapInArrow(_gathered(k, m), "col int, s array<double>")
+        got = parts.groupBy("col").agg(F.array(*(F.sum(F.col("s")[t]) for t in range(k))).alias("s")).toArrow()  # m + k rows
+        both = np.zeros((m + k, k))
+        both[got["col"].to_numpy()] = got["s"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+        h *= both[:m].T / (both[m:] @ h + TINY)
+        sent = spark.sparkContext.broadcast(h)
+        last, state = state, stage(state.mapInArrow(_updated(k, sent), STATE), "topics")
+        unstage(last)
+        sent.destroy()
+    return state.select("row", "w"), h
 
 
 def scaled(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,36 +146,84 @@ def scaled(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return terms, np.divide(mix, total, out=np.zeros_like(mix), where=total > 0)
 
 
-def train(corpus: Corpus, weights: DataFrame, topics: int = TOPICS, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
-    """topic_terms (topic, rank, lemma, weight) and topic_mix (edition_id, path_key, topic, weight FLOAT).
+@dataclass
+class Model:
+    """lemmas and terms (topics x lemmas, rows that sum to 1, nothing cut or rounded); mix: edition_id, path_key, mix
+    ARRAY<FLOAT> of every section."""
+
+    lemmas: list[str]
+    terms: np.ndarray
+    mix: DataFrame
 
-    The matrix goes to the driver if it has at most DRIVER_WEIGHTS non-zero weights, which is checked first; a larger one is
-    refused, with the advice to train on a sample of sections and to fold the others in (see fold_in)."""
+    def all_terms(self, spark: SparkSession) -> DataFrame:
+        """topic, lemma, weight of every lemma that a topic holds: what fold_in() takes."""
+        t, j = np.nonzero(self.terms)
+        return spark.createDataFrame(pa.table({"topic": pa.array(t.astype(np.int32)), "lemma": pa.array(self.lemmas, pa.string()).take(pa.array(j)), "weight": pa.array(self.terms[t, j])}))
+
+
+def coded(corpus: Corpus, weights: DataFrame, topics: int = TOPICS) -> tuple[DataFrame, list[str]]:
+    """row (from 0, by first unit), edition_id, path_key, cols, vals of every section, staged; the columns' lemmas. No more
+    than the vocabulary and a number for each partition reaches the driver."""
     spark = corpus.spark
-    sections = corpus.units.groupBy("edition_id", "path_key").agg(F.min("unit_id").alias("first")).orderBy("first")
-    kept = weights.join(columns(weights, sections, topics), "lemma", "left_semi").select("edition_id", "path_key", "lemma", "weight")
-    size = kept.count()
-    if size > DRIVER_WEIGHTS:
-        raise ValueError(f"{size} weights are too many for the driver: train on a sample of sections and fold_in() the rest")
-    docs = sections.select("edition_id", "path_key").toPandas()
-    v = kept.toPandas()
+    sections = corpus.units.groupBy("edition_id", "path_key").agg(F.min("unit_id").alias("first"))
     order = {w: i for i, w in enumerate(lemma_order(corpus))}
-    lemmas = sorted(v.lemma.unique(), key=lambda w: (order.get(w, len(order)), w))
-    at, place = {w: i for i, w in enumerate(lemmas)}, {(e, p): i for i, (e, p) in enumerate(zip(docs.edition_id, docs.path_key))}
-    if not len(docs) or not lemmas:
+    found = columns(weights, sections, topics).toArrow()["lemma"].to_pylist()
+    lemmas = sorted(found, key=lambda w: (order.get(w, len(order)), w))
+    code = spark.createDataFrame(pa.table({"lemma": pa.array(lemmas, pa.string()), "col": pa.array(np.arange(len(lemmas), dtype=np.int32))}))
+    placed = stage(sections.repartitionByRange(partitions(spark), "first").withColumn("part", F.spark_partition_id()), "sections")
+    per = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for part, n in per:
+        offsets.append((part, before))
+        before += n
+    within = F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1
+    placed = placed.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").select((F.col("before") + within).alias("row"), "edition_id", "path_key")
+    x = weights.join(F.broadcast(code), "lemma").select(F.col("edition_id").alias("e"), F.col("path_key").alias("p"), F.struct("col", F.col("weight").cast("double").alias("v")).alias("x"))
+    x = x.groupBy("e", "p").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    v = placed.join(x, F.col("edition_id").eqNullSafe(F.col("e")) & F.col("path_key").eqNullSafe(F.col("p")), "left")
+    list_of = lambda c, kind: F.coalesce(F.col(f"x.{c}"), F.array().cast(f"array<{kind}>"))
+    return stage(v.select("row", "edition_id", "path_key", list_of("col", "int").alias("cols"), list_of("v", "double").alias("vals")), "coded"), lemmas
+
+
+def model(corpus: Corpus, weights: DataFrame, topics: int = TOPICS, passes: int = PASSES) -> Model | None:
+    """The whole factorisation, None of a corpus without text: in the driver up to DRIVER_WEIGHTS non-zero weights, which is
+    checked first, else over the sections' partitions."""
+    spark = corpus.spark
+    v, lemmas = coded(corpus, weights, topics)
+    size = v.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cols")).alias("weights")).first()
+    if not size.n or not lemmas:
+        return None
+    k, m = max(1, min(topics, size.n, len(lemmas))), len(lemmas)
+    if size.weights > DRIVER_WEIGHTS:
+        rows, h = factorise_apart(v, size.n, m, k, passes)
+        mass = h.sum(1)
+        mix = F.zip_with("w", F.lit(mass.tolist()), lambda w, x: w * x)
+        rows = rows.select("row", mix.alias("x")).withColumn("total", F.aggregate("x", F.lit(0.0), lambda a, b: a + b))
+        rows = rows.select("row", F.transform("x", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(0.0).cast("float")).alias("mix"))
+        terms = scaled(np.zeros((0, k)), h)[0]
+    else:
+        t = v.select("row", "cols", "vals").toArrow().combine_chunks()
+        at, cols, values = _flat(t.to_batches()[0])
+        row = t["row"].to_numpy()
+        w, h = factorise(row[at], cols, values, size.n, m, k, passes)
+        terms, mix = scaled(w, h)
+        rows = spark.createDataFrame(pa.table({"row": pa.array(np.arange(size.n)), "mix": _lists(mix.astype(np.float32))}))
+    return Model(lemmas, terms, v.select("row", "edition_id", "path_key").join(rows, "row").select("edition_id", "path_key", "mix"))
+
+
+def train(corpus: Corpus, weights: DataFrame, topics: int = TOPICS, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+    """topic_terms (topic, rank, lemma, weight), the 25 first of each topic, and topic_mix (edition_id, path_key, topic,
+    weight FLOAT) of model()."""
+    spark = corpus.spark
+    found = model(corpus, weights, topics, passes)
+    if found is None:
         return spark.createDataFrame([], "topic int, rank int, lemma string, weight double"), spark.createDataFrame([], "edition_id long, path_key string, topic int, weight float")
-    k = max(1, min(topics, len(docs), len(lemmas)))
-    rows = np.array([place[x] for x in zip(v.edition_id, v.path_key)])
-    w, h = factorise(rows, v.lemma.map(at).to_numpy(), v.weight.to_numpy(float), len(docs), len(lemmas), k, passes)
-    terms, mix = scaled(w, h)
     out = []
-    for t in range(k):
-        best = np.argsort(-terms[t], kind="stable")[:25]
-        out += [(t, r + 1, lemmas[j], float(np.floor(terms[t, j] * 1e6 + 0.5) / 1e6)) for r, j in enumerate(best) if np.floor(terms[t, j] * 1e6 + 0.5) > 0]
+    for t, terms in enumerate(found.terms):
+        best = np.argsort(-terms, kind="stable")[:25]
+        out += [(t, r + 1, found.lemmas[j], float(np.floor(terms[j] * 1e6 + 0.5) / 1e6)) for r, j in enumerate(best) if np.floor(terms[j] * 1e6 + 0.5) > 0]
     tt = spark.createDataFrame(out, "topic int, rank int, lemma string, weight double")
-    d = np.repeat(np.arange(len(docs)), k)
-    tm = pa.table({"edition_id": pa.array(docs.edition_id.to_numpy()[d]), "path_key": pa.array(docs.path_key.to_numpy()[d]), "topic": pa.array(np.tile(np.arange(k, dtype=np.int32), len(docs))), "weight": pa.array(mix.astype(np.float32).ravel())})
-    return tt, spark.createDataFrame(tm)
+    return tt, found.mix.select("edition_id", "path_key", F.posexplode("mix").alias("topic", "weight"))
 
 
 def lemma_order(corpus: Corpus) -> list[str]:
@@ -114,7 +235,8 @@ def lemma_order(corpus: Corpus) -> list[str]:
 
 def fold_in(weights: DataFrame, terms: DataFrame, k: int, passes: int = 50) -> DataFrame:
     """edition_id, path_key, topic, weight of any number of sections under given topics: rows of W alone, partition by
-    partition. The topics (k times their lemmas) are broadcast; they were trained in the driver, hence fit."""
+    partition. terms are Model.all_terms(): with the 25 lemmas a topic of topic_terms, a section that has none of them
+    would get zeros. The topics (k times their lemmas) are broadcast, as in training."""
     t = terms.toPandas()
     lemmas = sorted(t.lemma.unique())
     at = {w: i for i, w in enumerate(lemmas)}

@@ -49,6 +49,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the files of a table made by stage() that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        p = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
     """stage(), bucketed by key: what reads it back is already hash-partitioned by key and needs no exchange.
     One file a bucket is written, as the rows are repartitioned by the key first."""

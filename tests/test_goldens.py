@@ -67,6 +67,27 @@ def test_topics(corpus):
     assert sum(got.values()) == pytest.approx(1, abs=0.01)
 
 
+def test_topics_above_the_driver_limit(corpus, monkeypatch):
+    w = vectors.tfidf(corpus).cache()
+    seen = []
+    for limit in (topics.DRIVER_WEIGHTS, 0):
+        monkeypatch.setattr(topics, "DRIVER_WEIGHTS", limit)
+        terms, mix = topics.train(corpus, w, passes=6)
+        seen.append(({(r.topic, r.lemma): r.weight for r in terms.collect()}, {(r.edition_id, r.path_key, r.topic): r.weight for r in mix.collect()}))
+    assert seen[0][1] and seen[1][1] == pytest.approx(seen[0][1], abs=1e-5)
+    assert {k: v for k, v in seen[1][0].items() if v > 0.001} == pytest.approx({k: v for k, v in seen[0][0].items() if v > 0.001}, abs=2e-6)
+
+
+def test_topics_fold_in_by_whole_topics(corpus, spark):
+    w = vectors.tfidf(corpus).cache()
+    found = topics.model(corpus, w, topics=1, passes=20)
+    assert len(found.lemmas) > 25
+    cut = topics.train(corpus, w, topics=1, passes=20)[0]
+    zeros = lambda t: {(r.edition_id, r.path_key) for r in topics.fold_in(w.join(found_lemmas, "lemma", "left_semi"), t, 1).collect() if r.weight == 0}
+    found_lemmas = spark.createDataFrame([(x,) for x in found.lemmas], "lemma string").join(cut, "lemma", "left_anti")
+    assert zeros(cut) and not zeros(found.all_terms(spark))
+
+
 def test_topics_fold_in(corpus, spark):
     terms = spark.createDataFrame([(0, 1, "liberty", 1.0), (1, 1, "connection", 1.0)], "topic int, rank int, lemma string, weight double")
     got = {(r.edition_id, r.path_key, r.topic): r.weight for r in topics.fold_in(vectors.tfidf(corpus), terms, 2).collect()}
