@@ -28,23 +28,21 @@ from pyspark.sql import functions as F
 from quirewise.session import stage, stage_bucketed
 from quirewise.sources.corpus import latest, run_tokens, table
 
-#: Weight of a record's own model in the mixture, steps of EM, and the change of p at which it has converged.
-OWN, STEPS, CONVERGED = 0.1, 60, 1e-6
+#: Weight of a record's own model in the mixture, and the change of p at which it has converged.
+OWN, CONVERGED = 0.1, 1e-6
 #: At most so many rows of the background are broadcast.
 BROADCAST_ROWS = 400_000
 LEAST_TOKENS, LEAST_WEIGHT = 60, 0.3
 
 
-def parsimonious(c: np.ndarray, q: np.ndarray, starts: np.ndarray, own: float = OWN, steps: int = STEPS, converged: float = CONVERGED) -> np.ndarray:
-    """Converged p of all records of a batch at once: starts holds the first row of each."""
+def parsimonious(c: np.ndarray, q: np.ndarray, starts: np.ndarray, own: float = OWN, converged: float = CONVERGED) -> np.ndarray:
+    """Converged p of all records of a batch at once, however many steps that takes: starts holds the first row of each."""
     sizes = np.diff(np.append(starts, len(c)))
     per = lambda x: np.repeat(np.add.reduceat(x, starts), sizes)
     p = c / per(c)
     live = np.arange(len(c))
     cc, qq, pp, at, size = c, (1 - own) * q, p.copy(), starts, sizes
-    for _ in range(steps):
-        if not len(live):
-            break
+    while len(live):
         e = cc * own * pp / (own * pp + qq)
         new = e / np.repeat(np.add.reduceat(e, at), size)
         moved = np.maximum.reduceat(np.abs(new - pp), at) > converged
@@ -75,7 +73,7 @@ def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _model(own: float, steps: int):
+def _model(own: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, "record"):
             if not t.num_rows:
@@ -83,7 +81,7 @@ def _model(own: float, steps: int):
             rec = t["record"].to_numpy()
             starts = np.flatnonzero(np.append(True, rec[1:] != rec[:-1]))
             c = t["c"].to_numpy().astype(float)
-            p = parsimonious(c, t["q"].to_numpy(), starts, own, steps)
+            p = parsimonious(c, t["q"].to_numpy(), starts, own)
             w = (1 + np.log(c)) * t["idf"].to_numpy()
             size = np.diff(np.append(starts, len(c)))
             w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), size)
@@ -93,7 +91,7 @@ def _model(own: float, steps: int):
     return run
 
 
-def distinctive(counts: DataFrame, own: float = OWN, steps: int = STEPS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def distinctive(counts: DataFrame, own: float = OWN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """record, term, c, tokens, p, weight of every term of every record.
 
     counts: record (a whole number), term, c > 0, one row each; rows with a null record or term, or without a
@@ -123,7 +121,7 @@ def distinctive(counts: DataFrame, own: float = OWN, steps: int = STEPS, broadca
     schema = "record long, term string, c long, tokens long, p double, weight double"
     # The window both keeps the buckets of the scan together and leaves the rows sorted by record.
     whole = joined.withColumn("tokens", F.sum("c").over(Window.partitionBy("record")))
-    return whole.mapInArrow(_model(own, steps), schema)
+    return whole.mapInArrow(_model(own), schema)
 
 
 def section_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,19 @@ def test_parsimonious():
     assert p[1] > p[2]
 
 
+def test_parsimonious_converges():
+    rng = np.random.default_rng(2)
+    c, q = rng.integers(1, 4, 120).astype(float), rng.dirichlet(np.ones(120)) * 0.3
+    starts = np.array([0, 50])
+    step = lambda p: np.concatenate([e / e.sum() for e in np.split(c * 0.1 * p / (0.1 * p + 0.9 * q), starts[1:])])
+    p = np.concatenate([x / x.sum() for x in np.split(c, starts[1:])])
+    for _ in range(60):
+        p = step(p)
+    assert np.abs(step(p) - p).max() > 1e-6  # 60 steps aren't enough
+    p = distinctive.parsimonious(c, q, starts)
+    assert np.abs(step(p) - p).max() <= 1e-6
+
+
 def test_distinctive(spark):
     rows = [(1, "a", 3), (1, "b", 1), (2, "a", 1), (2, "c", 2), (3, "a", 1), (None, "a", 1), (4, None, 1), (5, "z", 0)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "record long, term string, c long, q double")
