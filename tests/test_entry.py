@@ -43,3 +43,11 @@ def test_query(spark, con, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA) or entry.llm is None, reason="no test tables or no subpackage")
+@pytest.mark.parametrize("name", sorted(entry.llm.ORACLE) if entry.llm else [])
+def test_llm_query(spark, con, name):
+    got, want = entry.llm.QUERIES[name](spark, DATA).toPandas(), con.sql(entry.llm.ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert len(want) and values(got) == values(want)
