@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.session import stage, unstage
+
 CANONICAL, ALL = "canonical", "all"
 
 
@@ -28,23 +30,24 @@ def flagged(editions: DataFrame, wanted: str | None) -> DataFrame:
 
 def in_scope(editions: DataFrame, members: DataFrame, author: str | None = None, work: str | None = None, wanted: str | None = None) -> DataFrame:
     """Editions in scope. With a work: its editions that pass, and whatever is spliced into them (members: edition_id,
-    member_id, transitive) regardless of flags. The author filter comes last and holds for borrowed editions too."""
+    member_id, direct; what they borrow in turn is found here) regardless of flags. The author filter comes last and holds for borrowed editions too."""
     base = flagged(editions, wanted)
     if work is not None:
         base = base.filter(F.col("work") == work)
-        ids = base.select("edition_id").unionByName(base.join(members, "edition_id").select(F.col("member_id").alias("edition_id")))
+        ids = base.select("edition_id").unionByName(base.join(closure(members), "edition_id").select(F.col("member_id").alias("edition_id")))
         base = editions.join(ids.distinct(), "edition_id", "left_semi")
     return base.filter(F.array_contains("authors", author)) if author is not None else base
 
 
 def closure(members: DataFrame) -> DataFrame:
-    """edition_id, member_id: the transitive closure of direct borrowing."""
-    spark = members.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE reach (edition_id, member_id, depth) AS (
-             SELECT edition_id, member_id, 1 FROM {m}
-             UNION ALL
-             SELECT r.edition_id, m.member_id, r.depth + 1 FROM reach r JOIN {m} m ON r.member_id = m.edition_id WHERE r.depth < 32)
-           SELECT DISTINCT edition_id, member_id FROM reach""",
-        m=members.select("edition_id", "member_id").distinct(),
-    )
+    """edition_id, member_id: the transitive closure of direct borrowing, however long its chains. Each round joins the
+    pairs found with themselves, until none is new."""
+    found = stage(members.select("edition_id", "member_id").distinct(), "closure")
+    size, before = found.count(), 0
+    while size > before:
+        on = found.select(F.col("edition_id").alias("member_id"), F.col("member_id").alias("next"))
+        further = found.join(on, "member_id").select("edition_id", F.col("next").alias("member_id"))
+        last, found = found, stage(found.unionByName(further).distinct(), "closure")
+        unstage(last)
+        size, before = found.count(), size
+    return found

@@ -67,6 +67,18 @@ def test_scope_containment(spark):
     assert ids(author="nobody") == [] and ids(wanted="all") == [1, 2, 3, 4, 5]
 
 
+def test_scope_follows_chains(spark):
+    e = spark.createDataFrame([(i, f"w{i}", True, ["x"], "1") for i in range(1, 5)], "edition_id long, work string, canonical boolean, authors array<string>, edition string")
+    m = spark.createDataFrame([(1, 2), (2, 3)], "edition_id long, member_id long")
+    assert sorted(r.edition_id for r in scope.in_scope(e, m, work="w1").collect()) == [1, 2, 3]
+
+
+def test_closure_of_a_long_chain(spark):
+    m = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 39)], "edition_id long, member_id long")
+    got = {(r.edition_id, r.member_id) for r in scope.closure(m).collect()}
+    assert got == {(i, j) for i in range(41) for j in range(i + 1, 41)} | {(39, 39), (40, 39), (40, 40)}
+
+
 def test_closure(spark):
     m = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 2)], "edition_id long, member_id long")
     assert sorted(map(tuple, scope.closure(m).collect())) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
