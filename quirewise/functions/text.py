@@ -7,7 +7,7 @@ import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,3 +74,8 @@ def half_up(c: Column, places: int) -> Column:
     """Round half toward plus infinity, as floor(x * 10^k + 1/2) / 10^k."""
     k = float(10**places)
     return F.floor(c * F.lit(k) + F.lit(0.5)) / F.lit(k)
+
+
+def digest(df: DataFrame) -> Column:
+    """A hash of a row, in which nulls count."""
+    return F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns))

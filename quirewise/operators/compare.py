@@ -6,7 +6,7 @@ from collections.abc import Hashable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.sources.model import Corpus
@@ -60,7 +60,7 @@ def shortest_script(a: Sequence[Hashable], b: Sequence[Hashable], most: int = MO
             break
         else:
             done = False
-        if not done or d == limit == most:
+        if not done:
             out += [(DELETE, lo, lo + n), (INSERT, lo, lo + m)]
         else:
             edits = []
@@ -148,10 +148,18 @@ def align_trees(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tupl
 
 
 def paired(corpus: Corpus) -> DataFrame:
-    """host_slug, work, a, b: each two editions of a work that follow each other, by slug."""
+    """host_slug, work, a, b: each two editions of a work, the earlier slug first. Printings of one work are few."""
     e = corpus.editions.select("host_slug", "work", "edition", "edition_id")
-    w = Window.partitionBy("host_slug", "work").orderBy("edition", "edition_id")
-    return e.withColumn("b", F.lead("edition_id").over(w)).filter("b IS NOT NULL").select("host_slug", "work", F.col("edition_id").alias("a"), "b")
+    o = e.select("host_slug", "work", F.col("edition").alias("later"), F.col("edition_id").alias("b"))
+    both = e.join(o, ["host_slug", "work"]).filter(F.struct("edition", "edition_id") < F.struct("later", "b"))
+    return both.select("host_slug", "work", F.col("edition_id").alias("a"), "b")
+
+
+def pair_of(corpus: Corpus, host: str, work: str, a: str, b: str) -> DataFrame:
+    """a, b: the editions of two slugs; no row if one is missing or both are the same."""
+    e = corpus.editions.filter((F.col("host_slug") == host.lower()) & (F.col("work") == work.lower()))
+    one = lambda slug, c: e.filter(F.col("edition") == slug.lower()).select(F.col("edition_id").alias(c))
+    return one(a, "a").crossJoin(one(b, "b")).filter("a <> b")  # a row each
 
 
 def align_sections(corpus: Corpus, pairs: DataFrame) -> DataFrame:
@@ -189,13 +197,78 @@ def block_status(corpus: Corpus, pairs: DataFrame, version: str = "edited") -> D
     return j.filter("path_key <> ''").select("a", "b", "path_key", "block", status.alias("status"), "unit_a", "unit_b", "text_a", "text_b")
 
 
+ORDERED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path_key", pa.string()), ("ordinal", pa.int32()), ("block", pa.string()), ("unit_a", pa.int64()), ("unit_b", pa.int64())])
+
+
+def ordered_blocks(corpus: Corpus, pairs: DataFrame, version: str = "edited") -> DataFrame:
+    """a, b, path_key, ordinal, block, kind, unit_a, unit_b, text_a, text_b: the blocks of each section that both editions
+    have, in the order in which b's are turned into a's: equal, changed, inserted (a alone) or deleted (b alone). The ids
+    are aligned by the shortest script, so repeated ids pair once; texts are joined after."""
+    key = F.lower(F.element_at(F.split("block_id", "[./]"), -1))
+    lists = corpus.units.filter("path_key <> ''").groupBy("edition_id", "path_key").agg(F.sort_array(F.collect_list(F.struct("unit_id", key.alias("block")))).alias("u"))
+    side = lambda e, c: lists.select(F.col("edition_id").alias(e), "path_key", F.col("u").alias(c))
+    both = pairs.select("a", "b").join(side("a", "ua"), "a").join(side("b", "ub"), ["b", "path_key"]).select("a", "b", "path_key", "ua", "ub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                found = align([x["block"] for x in r["ub"]], [x["block"] for x in r["ua"]])
+                for n, (j, i) in enumerate(found):
+                    ub, ua = r["ub"][j] if j is not None else None, r["ua"][i] if i is not None else None
+                    rows.append({"a": r["a"], "b": r["b"], "path_key": r["path_key"], "ordinal": n, "block": (ua or ub)["block"], "unit_a": ua and ua["unit_id"], "unit_b": ub and ub["unit_id"]})
+            yield pa.RecordBatch.from_pylist(rows, ORDERED)
+
+    o = both.mapInArrow(run, "a long, b long, path_key string, ordinal int, block string, unit_a long, unit_b long")
+    original = F.coalesce(F.when(F.col("has_editorial"), F.col("text_original")), F.col("text_edited"))
+    u = corpus.units.select("unit_id", (F.col("text_edited") if version == "edited" else original).alias("text"))
+    o = o.join(u.withColumnsRenamed({"unit_id": "unit_a", "text": "text_a"}), "unit_a", "left").join(u.withColumnsRenamed({"unit_id": "unit_b", "text": "text_b"}), "unit_b", "left")
+    kind = F.when(F.col("unit_a").isNull(), "deleted").when(F.col("unit_b").isNull(), "inserted").when(F.col("text_a").eqNullSafe(F.col("text_b")), "equal").otherwise("changed")
+    return o.select("a", "b", "path_key", "ordinal", "block", kind.alias("kind"), "unit_a", "unit_b", "text_a", "text_b")
+
+
+def neighbours_in_both(corpus: Corpus, pairs: DataFrame) -> DataFrame:
+    """a, b, path_key, previous, next: along a's reading order, the nearest sections that b has too, for each section of both."""
+    s = corpus.sections.filter("path_key <> ''").select("edition_id", "path_key", "ordinal")
+    both = pairs.select("a", "b").join(s.withColumnRenamed("edition_id", "a"), "a").join(s.select(F.col("edition_id").alias("b"), "path_key"), ["b", "path_key"])
+    w = Window.partitionBy("a", "b").orderBy("ordinal")
+    return both.select("a", "b", "path_key", F.lag("path_key").over(w).alias("previous"), F.lead("path_key").over(w).alias("next"))
+
+
+def child_rows(aligned: DataFrame, path: str) -> DataFrame:
+    """Of align_sections() what lies under a section."""
+    return aligned.filter(F.col("path_key").startswith(path.lower() + "/"))
+
+
+#: How stretches are marked where a comparison is read as a text.
+MARKS = {DELETE: ("[-", "-]"), INSERT: ("{+", "+}")}
+
+
+def as_text(ops: Column) -> Column:
+    """Stretches put together as one text, with what was taken out or in marked."""
+    mark = lambda x: F.when(x["op"] == DELETE, F.concat(F.lit(MARKS[DELETE][0]), x["text"], F.lit(MARKS[DELETE][1]))).when(x["op"] == INSERT, F.concat(F.lit(MARKS[INSERT][0]), x["text"], F.lit(MARKS[INSERT][1]))).otherwise(x["text"])
+    return F.array_join(F.transform(ops, mark), " ")
+
+
+OPS = "array<struct<op: string, text: string>>"
+
+
 def diff_ops(blocks: DataFrame) -> DataFrame:
-    """Blocks of block_status with `ops` ARRAY<STRUCT<op, text>>. The text of b is compared to that of a, so what a alone has
-    is an insertion. Unchanged blocks have one equal stretch."""
+    """Blocks with text_a and text_b with `ops` ARRAY<STRUCT<op, text>>. The text of b is compared to that of a, so what a alone
+    has is an insertion. Blocks that are equal or that one side lacks have one stretch, put there by built-in
+    expressions (none if it has no sign); only changed ones go to Python."""
 
-    @F.arrow_udf("array<struct<op: string, text: string>>")
+    @F.arrow_udf(OPS)
     def ops(a: pa.Array, b: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("op", pa.string()), ("text", pa.string())]))
-        return pa.array([word_ops(y or "", x or "") for x, y in zip(a.to_pylist(), b.to_pylist())], kind)
-
-    return blocks.withColumn("ops", ops("text_a", "text_b"))
+        return pa.array([None if x is None or y is None else word_ops(y, x) for x, y in zip(a.to_pylist(), b.to_pylist())], kind)
+
+    a, b = F.coalesce("text_a", F.lit("")), F.coalesce("text_b", F.lit(""))
+    # As it is read by signs: white space between them is one space, none at the ends.
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""), r"\p{IsWhite_Space}+", " ")
+    same, only_a, only_b = plain(a) == plain(b), plain(b) == "", plain(a) == ""
+    whole = F.array(F.struct(F.when(same, EQUAL).when(only_a, INSERT).otherwise(DELETE).alias("op"), F.when(only_b, plain(b)).otherwise(plain(a)).alias("text")))
+    alike = same | only_a | only_b
+    found = blocks.withColumn("__ops", ops(F.when(~alike, a), F.when(~alike, b)))
+    none = F.array().cast(OPS)
+    return found.withColumn("ops", F.when(same & only_b, none).when(alike, whole.cast(OPS)).otherwise(F.col("__ops"))).drop("__ops")

@@ -59,6 +59,35 @@ def text_of(corpus: Corpus, edition_ids: DataFrame, version: str = "edited", pat
     return u.select(*cols, (F.col("text_edited") if version == "edited" else original).alias("text"))
 
 
+def ordered_text(corpus: Corpus, edition_ids: DataFrame, version: str = "edited", path: str | None = None, subtree: bool = True) -> DataFrame:
+    """text_of() with `place`, the place of each unit in its edition's reading order, from 1."""
+    return text_of(corpus, edition_ids, version, path, subtree).withColumn("place", F.row_number().over(Window.partitionBy("edition_id").orderBy("unit_id")))
+
+
+def title_blocks(corpus: Corpus, edition_ids: DataFrame) -> DataFrame:
+    """edition_id, unit_id, block_id, text of the titles that an edition opens with."""
+    return text_of(corpus, edition_ids, path="", subtree=False).filter("path_key = '' AND is_title").select("edition_id", "unit_id", "block_id", "text")
+
+
+def find_work(corpus: Corpus, host: str, work: str) -> DataFrame:
+    """A work by its host and slug, in lower case, a row for each of its authors with what the register has of them."""
+    w = corpus.works.filter((F.col("host_slug") == host.lower()) & (F.col("work") == work.lower())).dropDuplicates(["host_slug", "work"])
+    return w.withColumn("slug", F.explode_outer("author_slugs")).join(corpus.authors.dropDuplicates(["slug"]).withColumnRenamed("title", "author_title") if "title" in corpus.authors.columns else corpus.authors.dropDuplicates(["slug"]), "slug", "left")
+
+
+def section_answer(corpus: Corpus, edition_ids: DataFrame, path: str) -> DataFrame:
+    """edition_id, path_key, title, previous, next, above ARRAY, others ARRAY: a section with the way to its neighbours, what lies
+    above it from the root down, and further editions of the work that have it, in the order of their slugs."""
+    p = path.lower()
+    here = contents(corpus, edition_ids).filter(F.col("path_key") == p).select("edition_id", "path_key", "title")
+    nav = navigation(corpus).filter(F.col("path_key") == p).select("edition_id", "previous", "next")
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path_key", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path_key", "/"), F.lit(1), n), "/"))
+    others = matching_editions(corpus).filter(F.col("path_key") == p).groupBy("edition_id").agg(F.sort_array(F.collect_list("other")).alias("others"))
+    none = F.array().cast("array<string>")
+    got = here.join(nav, "edition_id").join(others, "edition_id", "left")
+    return got.select("edition_id", "path_key", "title", "previous", "next", F.when(F.size(F.split("path_key", "/")) > 1, above).otherwise(none).alias("above"), F.coalesce("others", none).alias("others"))
+
+
 def navigation(corpus: Corpus) -> DataFrame:
     """edition_id, path_key, ordinal, previous, next: neighbours in reading order."""
     w = Window.partitionBy("edition_id").orderBy("ordinal")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.session import stage, unstage
+from quirewise.sources.model import Corpus
 
 CANONICAL, ALL = "canonical", "all"
 
@@ -28,17 +29,30 @@ def flagged(editions: DataFrame, wanted: str | None) -> DataFrame:
     return editions if wanted == ALL else editions.filter(F.col("edition") == wanted)
 
 
-def in_scope(editions: DataFrame, members: DataFrame, author: str | None = None, work: str | None = None, wanted: str | None = None) -> DataFrame:
+def in_scope(editions: DataFrame, members: DataFrame, author: str | None = None, work: str | None = None, wanted: str | None = None, closed: bool = False) -> DataFrame:
     """Editions in scope. With a work: its editions that pass, and whatever is spliced into them (members: edition_id,
-    member_id, direct; what they borrow in turn is found here) regardless of flags. The author filter comes last and holds for borrowed editions too."""
+    member_id, direct, whose chains are followed here, or closed: followed already) regardless of flags. The author filter
+    comes last and holds for borrowed editions too."""
     base = flagged(editions, wanted)
     if work is not None:
         base = base.filter(F.col("work") == work)
-        ids = base.select("edition_id").unionByName(base.join(closure(members), "edition_id").select(F.col("member_id").alias("edition_id")))
+        reached = members if closed else closure(members)
+        ids = base.select("edition_id").unionByName(base.join(reached, "edition_id").select(F.col("member_id").alias("edition_id")))
         base = editions.join(ids.distinct(), "edition_id", "left_semi")
     return base.filter(F.array_contains("authors", author)) if author is not None else base
 
 
+def scoped(corpus: Corpus, author: str | None = None, work: str | None = None, wanted: str | None = None) -> DataFrame:
+    """in_scope() of a corpus, by its compiled closure if there is one."""
+    closed = corpus.borrowed is not None
+    return in_scope(corpus.editions, corpus.borrowed if closed else corpus.members, author, work, wanted, closed)
+
+
+def scope_name(edition: str | None = None, editions: str | None = None) -> str:
+    """What an answer says about the printings it looked at: 'all' or 'canonical'."""
+    return ALL if editions == ALL else CANONICAL
+
+
 def closure(members: DataFrame) -> DataFrame:
     """edition_id, member_id: the transitive closure of direct borrowing, however long its chains. Each round joins the
     pairs found with themselves, until none is new."""

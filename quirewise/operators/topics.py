@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions.text import half_up
+from quirewise.operators import vectors
 from quirewise.session import partitions, stage, unstage
 from quirewise.sources.model import Corpus
 
@@ -166,9 +167,10 @@ def coded(corpus: Corpus, weights: DataFrame, topics: int = TOPICS) -> tuple[Dat
     than the vocabulary and a number for each partition reaches the driver."""
     spark = corpus.spark
     sections = corpus.units.groupBy("edition_id", "path_key").agg(F.min("unit_id").alias("first"))
-    order = {w: i for i, w in enumerate(lemma_order(corpus))}
-    found = columns(weights, sections, topics).toArrow()["lemma"].to_pylist()
-    lemmas = sorted(found, key=lambda w: (order.get(w, len(order)), w))
+    # The columns' lemmas, as they are met walking the sorted printed surfaces and their readings: a row a lemma, as H has.
+    met = corpus.vocabulary_readings.groupBy("lemma").agg(F.min(F.struct("surface", "reading_idx", "word_idx")).alias("met"))
+    kept = columns(weights, sections, topics).join(met, "lemma", "left")
+    lemmas = kept.orderBy(F.col("met").asc_nulls_last(), "lemma").select("lemma").toArrow()["lemma"].to_pylist()
     code = spark.createDataFrame(pa.table({"lemma": pa.array(lemmas, pa.string()), "col": pa.array(np.arange(len(lemmas), dtype=np.int32))}))
     placed = stage(sections.repartitionByRange(partitions(spark), "first").withColumn("part", F.spark_partition_id()), "sections")
     per = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -226,11 +228,12 @@ def train(corpus: Corpus, weights: DataFrame, topics: int = TOPICS, passes: int
     return tt, found.mix.select("edition_id", "path_key", F.posexplode("mix").alias("topic", "weight"))
 
 
-def lemma_order(corpus: Corpus) -> list[str]:
-    """Lemmas as they are met walking the sorted printed surfaces and their readings."""
-    r = corpus.vocabulary_readings.select("surface", "reading_idx", "word_idx", "lemma").distinct().toPandas()
-    r = r.sort_values(["surface", "reading_idx", "word_idx"])
-    return list(dict.fromkeys(r.lemma))
+def stored(corpus: Corpus) -> tuple[DataFrame, DataFrame]:
+    """train() of a corpus, done once: topic_terms and topic_mix are staged when they are first asked for."""
+    if corpus.topic_terms is None or corpus.topic_mix is None:
+        terms, mix = train(corpus, vectors.stored(corpus))
+        corpus.topic_terms, corpus.topic_mix = stage(terms, "topic_terms"), stage(mix, "topic_mix")
+    return corpus.topic_terms, corpus.topic_mix
 
 
 def fold_in(weights: DataFrame, terms: DataFrame, k: int, passes: int = 50) -> DataFrame:
@@ -288,3 +291,24 @@ def labels(terms: DataFrame, words: int = 3) -> DataFrame:
     """topic, label: its first lemmas."""
     t = terms.filter(F.col("rank") <= words)
     return t.groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", "lemma"))).getField("lemma"), ", ").alias("label"))
+
+
+#: Lemmas that stand beside a topic of a mix.
+CONTEXT = 6
+
+
+def topic_mix(corpus: Corpus, author: str | None, work: str | None, level: str | None = None, path: str | None = None, edition: str | None = None, limit: int = 10, terms: DataFrame | None = None, mix: DataFrame | None = None) -> DataFrame:
+    """topic, label, terms, weight, found: the topics of a work, an edition or a section, most of it first, ties by topic, with
+    their first lemmas. The target is found as for similar(). A target that isn't there, or has no text, is one row
+    with found = false. terms, mix: of train(), stored() if not given."""
+    level = vectors.level_of(level, path)
+    terms, mix = (terms, mix) if terms is not None and mix is not None else stored(corpus)
+    one = vectors.target_edition(corpus, author, work, level, edition) if author is not None and work is not None else corpus.editions.select("edition_id").limit(0)
+    m = mix.join(F.broadcast(one), "edition_id", "left_semi")
+    if level == "section":
+        m = m.filter(F.col("path_key") == (path or "").lower())
+    top = mix_of(m, limit)
+    t = terms.filter(F.col("rank") <= CONTEXT).groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", "lemma"))).getField("lemma"), " ").alias("terms"))
+    rows = top.join(F.broadcast(labels(terms).join(t, "topic")), "topic").select("topic", "label", "terms", "weight", F.lit(True).alias("found"))
+    none = corpus.spark.range(1).join(top.limit(1).select(F.lit(True).alias("t")), how="left").filter("t IS NULL")
+    return rows.unionByName(none.select(*(F.lit(None).cast(k).alias(c) for c, k in rows.drop("found").dtypes), F.lit(False).alias("found"))).orderBy(F.desc("weight"), "topic")

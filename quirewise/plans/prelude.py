@@ -35,8 +35,12 @@ CTES = {
     UNION ALL SELECT surface, 0, (i - 1)::INT, w, w FROM (SELECT surface, unnest(string_split(surface, ' ')) AS w, generate_subscripts(string_split(surface, ' '), 1) AS i FROM printed
       WHERE surface NOT IN (SELECT surface FROM rd) AND NOT (surface LIKE '%''s' AND surface[:-3] IN (SELECT surface FROM rd)))""",
     "tl": "SELECT t.*, CASE WHEN t.reading_idx = -1 THEN string_split(t.surface, ' ') ELSE coalesce(o.lemmas, CASE WHEN t.surface NOT IN (SELECT surface FROM rd) AND b.lemmas IS NOT NULL THEN [array_to_string(b.lemmas, ' ')] END, string_split(t.surface, ' ')) END AS lemmas FROM {tokens} t LEFT JOIN rl o ON o.surface = t.surface AND o.reading_idx = coalesce(t.reading_idx, 0) LEFT JOIN rl b ON t.surface LIKE '%''s' AND b.surface = t.surface[:-3] AND b.reading_idx = coalesce(t.reading_idx, 0)",
-    "mem": """SELECT a.edition_id, b.edition_id AS member_id FROM (SELECT host_slug, min(work) AS f, max(work) AS l FROM ed GROUP BY 1 HAVING min(work) < max(work)) x
-    JOIN ed a ON a.host_slug = x.host_slug AND a.work = x.f AND a.canonical JOIN ed b ON b.host_slug = x.host_slug AND b.work = x.l""",
+    # The stand-in for borrowing: chains of four works of a host.
+    "mem": """SELECT a.edition_id, b.edition_id AS member_id FROM (SELECT host_slug, work, row_number() OVER (PARTITION BY host_slug ORDER BY work) AS n FROM (SELECT DISTINCT host_slug, work FROM ed)) x
+    JOIN (SELECT host_slug, work, row_number() OVER (PARTITION BY host_slug ORDER BY work) - 1 AS n FROM (SELECT DISTINCT host_slug, work FROM ed)) y ON x.host_slug = y.host_slug AND x.n = y.n AND y.n % 4 <> 0
+    JOIN ed a ON a.host_slug = x.host_slug AND a.work = x.work AND a.canonical JOIN ed b ON b.host_slug = y.host_slug AND b.work = y.work""",
+    "mem2": "SELECT x.edition_id, y.member_id FROM mem x JOIN mem y ON y.edition_id = x.member_id",
+    "bor": "SELECT * FROM mem UNION SELECT * FROM mem2 UNION SELECT x.edition_id, y.member_id FROM mem2 x JOIN mem y ON y.edition_id = x.member_id",
     "sec": """SELECT edition_id, path_key, (row_number() OVER (PARTITION BY edition_id ORDER BY first))::INT AS ordinal, depth, title, units
     FROM (SELECT edition_id, path_key, min(unit_id) AS first, (CASE WHEN path_key = '' THEN 0 ELSE len(string_split(path_key, '/')) END)::INT AS depth, arg_min(section_title, unit_id) AS title, count(*) AS units FROM un GROUP BY 1, 2)""",
     "who": "SELECT min(authors[1]) AS author FROM ed WHERE canonical",
@@ -44,7 +48,7 @@ CTES = {
 }
 
 #: What each of them reads.
-NEEDS = {"torig": ["tk", "tor", "un"], "rl": ["rd"], "printed": ["tk", "tor", "un"], "vr": ["rd", "rl", "printed"], "tl": ["tk", "rl"], "mem": ["ed"], "sec": ["un"], "who": ["ed"], "what": ["ed", "who"]}
+NEEDS = {"torig": ["tk", "tor", "un"], "rl": ["rd"], "printed": ["tk", "tor", "un"], "vr": ["rd", "rl", "printed"], "tl": ["tk", "rl"], "mem": ["ed"], "mem2": ["mem"], "bor": ["mem", "mem2"], "sec": ["un"], "who": ["ed"], "what": ["ed", "who"]}
 
 
 def sql(body: str, *names: str, original: bool = False, **more: str) -> str:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.text import WORD, half_up, is_capital, words
 from quirewise.operators import compare, reading, scope, search, stats, topics, vectors
+from quirewise.plans.prelude import CTES, sql
 from quirewise.plans.prelude import half_up as half_up_sql
-from quirewise.plans.prelude import sql
 from quirewise.sources.artefacts import load
 from quirewise.sources.corpus import table
 from quirewise.sources.model import Corpus, from_documents
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: Words that the queries look for.
-WORD_1, WORD_2, PHRASE_2, PHRASE_3, ODD = "merchant", "author", "of the", "and of the", "surprized"
+WORD_1, WORD_2, PHRASE_2, PHRASE_3, ODD = "merchant", "author", "of the", "opinion of the", "surprized"
+#: The section of which like ones are looked for.
+SECTION = "2"
 
 
 def query(text: str | None = None):
@@ -44,9 +46,10 @@ def raw(text: str | None = None):
 
 def subject(c: Corpus) -> tuple[str, str]:
     """The author and work that scoped queries ask for: the first of the canonical editions."""
-    e = c.editions.filter("canonical").select(F.col("authors")[0].alias("a"), "authors", "work")
-    author = e.agg(F.min("a")).first()[0]
-    return author, e.filter(F.array_contains("authors", F.lit(author))).agg(F.min("work")).first()[0]
+    e = c.editions.filter("canonical").select(F.col("authors")[0].alias("a"), F.explode("authors").alias("author"), "work")
+    least = e.agg(F.min("a")).scalar()
+    row = e.filter(F.col("author") == least).groupBy("author").agg(F.min("work").alias("work")).first()
+    return row.author, row.work
 
 
 IDS = ["edition_id", "host_slug", "work", "edition"]
@@ -111,12 +114,14 @@ def corpus_stats(c: Corpus) -> DataFrame:
 
 # Scope
 
-_MEMBERS = "SELECT DISTINCT edition_id, member_id FROM mem"
+@query(sql("SELECT edition_id, member_id FROM bor", "bor"))
+def edition_members(c: Corpus) -> DataFrame:
+    return c.borrowed
 
 
-@query(sql(_MEMBERS, "mem"))
-def edition_members(c: Corpus) -> DataFrame:
-    return scope.closure(c.members)
+@query(sql("SELECT DISTINCT edition_id, member_id FROM mem", "mem"))
+def edition_borrows(c: Corpus) -> DataFrame:
+    return c.members.distinct()
 
 
 @query(sql("SELECT DISTINCT edition FROM ed", "ed"))
@@ -126,26 +131,45 @@ def edition_slugs(c: Corpus) -> DataFrame:
 
 @query(sql("SELECT edition_id, host_slug, work, edition FROM ed WHERE canonical", "ed"))
 def scope_canonical(c: Corpus) -> DataFrame:
-    return scope.in_scope(c.editions, c.members).select(*IDS)
+    return scope.scoped(c).select(*IDS)
 
 
 @query(sql("SELECT edition_id, host_slug, work, edition FROM ed", "ed"))
 def scope_all(c: Corpus) -> DataFrame:
-    return scope.in_scope(c.editions, c.members, wanted=scope.check_scope(editions="all")).select(*IDS)
+    return scope.scoped(c, wanted=scope.check_scope(editions="all")).select(*IDS)
+
+
+def in_scope_sql(work: str, table: str = "bor", more: str = "") -> str:
+    """SQL of the ids in the scope of a work: its canonical editions and what they borrow."""
+    return f"SELECT edition_id FROM ed WHERE edition_id IN (SELECT edition_id FROM ed WHERE canonical AND work = {work} UNION SELECT member_id FROM {table} JOIN ed USING (edition_id) WHERE canonical AND work = {work}){more}"
 
 
 _CONTAINER = "(SELECT min(work) FROM ed WHERE edition_id IN (SELECT edition_id FROM mem))"
+_CHAINED = "(SELECT min(work) FROM ed WHERE edition_id IN (SELECT edition_id FROM mem2))"
+
+
+def first_work(c: Corpus, holding: DataFrame) -> str:
+    return c.editions.join(holding.select("edition_id"), "edition_id", "left_semi").agg(F.min("work")).first()[0] or ""
+
+
+def chained(c: Corpus) -> DataFrame:
+    """Editions that borrow from one that borrows."""
+    return c.members.join(c.members.select(F.col("edition_id").alias("member_id")), "member_id", "left_semi")
 
 
-@query(sql(f"SELECT edition_id, host_slug, work, edition FROM ed WHERE edition_id IN (SELECT edition_id FROM ed WHERE canonical AND work = {_CONTAINER} UNION SELECT member_id FROM mem JOIN ed USING (edition_id) WHERE canonical AND work = {_CONTAINER})", "mem"))
+@query(sql(f"SELECT edition_id, host_slug, work, edition FROM ed WHERE edition_id IN ({in_scope_sql(_CONTAINER)})", "bor"))
 def scope_work_containment(c: Corpus) -> DataFrame:
-    work = c.editions.join(c.members, "edition_id", "left_semi").agg(F.min("work")).first()[0]
-    return scope.in_scope(c.editions, c.members, work=work or "").select(*IDS)
+    return scope.scoped(c, work=first_work(c, c.members)).select(*IDS)
+
+
+@query(sql(f"SELECT edition_id, host_slug, work, edition FROM ed WHERE edition_id IN ({in_scope_sql(_CHAINED)})", "bor"))
+def scope_transitive(c: Corpus) -> DataFrame:
+    return scope.scoped(c, work=first_work(c, chained(c))).select(*IDS)
 
 
 @query(sql("SELECT edition_id, host_slug, work, edition FROM ed WHERE canonical AND list_contains(authors, (SELECT author FROM who))", "ed", "who"))
 def scope_author(c: Corpus) -> DataFrame:
-    return scope.in_scope(c.editions, c.members, author=subject(c)[0]).select(*IDS)
+    return scope.scoped(c, author=subject(c)[0]).select(*IDS)
 
 
 # Search
@@ -230,12 +254,12 @@ def _form(word: str) -> str:
 @query(sql(f"SELECT unit_id, tf, {half_up_sql('score', 6)} AS score FROM r", "un", "ed", "vr", **ranked_sql(exact_starts([WORD_1]))))
 def bm25(c: Corpus) -> DataFrame:
     _, first, n = search.phrase(c, WORD_1, "exact")
-    return search.ranked(c, first, n, scope.in_scope(c.editions, c.members)).select("unit_id", "tf", half_up(F.col("score"), 6).alias("score"))
+    return search.ranked(c, first, n, scope.scoped(c)).select("unit_id", "tf", half_up(F.col("score"), 6).alias("score"))
 
 
 def _hits(c: Corpus, number: int) -> DataFrame:
     _, first, n = search.phrase(c, WORD_1, "form")
-    hits = search.ranked(c, first, n, scope.in_scope(c.editions, c.members))
+    hits = search.ranked(c, first, n, scope.scoped(c))
     # Rounded first, so that equal scores are ties; texts are fetched for the page alone.
     top = search.page(hits.withColumn("score", half_up(F.col("score"), 9)), [F.desc("score"), "unit_id"], number)
     e = c.editions.select("edition_id", "host_slug", "work", "edition")
@@ -258,6 +282,37 @@ def search_page2(c: Corpus) -> DataFrame:
     return _hits(c, 2)
 
 
+@query(sql("SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::BIGINT AS pages FROM r", "un", "ed", "vr", **ranked_sql(_form(WORD_1))))
+def search_total(c: Corpus) -> DataFrame:
+    _, first, n = search.phrase(c, WORD_1, "form")
+    return search.total_and_pages(search.ranked(c, first, n, scope.scoped(c)))
+
+
+_MARKED = "(SELECT unit_id, string_agg(start_char || '-' || end_char, ' ' ORDER BY start_char) AS marks FROM (SELECT unit_id, min(start_char) AS start_char, max(end_char) AS end_char FROM (SELECT t.unit_id, t.start_char, t.end_char, t.pos - row_number() OVER (PARTITION BY t.unit_id ORDER BY t.pos) AS island FROM s JOIN tk t USING (unit_id, pos)) GROUP BY unit_id, island) GROUP BY 1)"
+
+
+@query(
+    sql(
+        f"""SELECT h.unit_id, array_to_string(e.authors, ' ') AS authors, array_to_string(e.author_names, ', ') AS author_names, e.host_slug, e.work, w.b AS work_breadcrumb, e.edition, u.path_key, u.section_title, u.block_id, m.marks, u.text_edited AS text
+        FROM (SELECT unit_id, edition_id FROM r ORDER BY {half_up_sql("score", 9)} DESC, unit_id LIMIT 20) h JOIN ed e USING (edition_id) JOIN un u ON u.unit_id = h.unit_id JOIN {_MARKED} m ON m.unit_id = h.unit_id
+        LEFT JOIN (SELECT host_slug, work, min(breadcrumb) AS b FROM wk GROUP BY 1, 2) w ON w.host_slug = e.host_slug AND w.work = e.work""",
+        "un", "ed", "vr", "wk",
+        **ranked_sql(_form(WORD_1)),
+    )
+)
+def search_cited(c: Corpus) -> DataFrame:
+    """A page of hits with their citations, and where in the text the matches stand."""
+    s, first, n = search.phrase(c, WORD_1, "form")
+    hits = search.ranked(c, first, n, scope.scoped(c)).withColumn("score", half_up(F.col("score"), 9))
+    top = search.page(hits, [F.desc("score"), "unit_id"]).select("unit_id")
+    near = s.join(F.broadcast(top), "unit_id", "left_semi")
+    marks = search.highlights(near, first.join(F.broadcast(top), "unit_id", "left_semi"), n)
+    at = F.transform(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))), lambda x: F.concat(x["start_char"], F.lit("-"), x["end_char"]))
+    marks = marks.groupBy("unit_id").agg(F.array_join(at, " ").alias("marks"))
+    cited = search.cited(c, top).join(marks, "unit_id").join(c.units.select("unit_id", F.col("text_edited").alias("text")), "unit_id")
+    return cited.withColumns({"authors": F.array_join("authors", " "), "author_names": F.array_join("author_names", ", ")}).drop("edition_id")
+
+
 @query(
     sql(
         """SELECT unit_id, min(start_char) AS start_char, max(end_char) AS end_char FROM (SELECT t.unit_id, t.start_char, t.end_char, t.pos - row_number() OVER (PARTITION BY t.unit_id ORDER BY t.pos) AS island FROM p JOIN tk t USING (unit_id, pos)) GROUP BY unit_id, island""",
@@ -292,7 +347,7 @@ def frequency_sql(keys: str, n: int, first: str, source: str = "g") -> str:
 
 def _frequency(c: Corpus, q: str, match: str, by: str) -> DataFrame:
     _, first, n = search.phrase(c, q, match)
-    return search.frequency(c, first, n, scope.in_scope(c.editions, c.members), by)
+    return search.frequency(c, first, n, scope.scoped(c), by)
 
 
 @query(frequency_sql("host_slug, work", 1, _form(WORD_1)))
@@ -310,6 +365,27 @@ def freq_author(c: Corpus) -> DataFrame:
     return _frequency(c, WORD_1, "form", "author")
 
 
+def labelled_sql(by: str, keys: str, label: str, n: int, first: str, source: str = "g") -> str:
+    join = {"author": "(SELECT a AS author, min(n) AS l FROM (SELECT unnest(authors) AS a, unnest(author_names) AS n FROM ed) GROUP BY 1)", "work": "(SELECT host_slug, work, min(breadcrumb) AS l FROM wk GROUP BY 1, 2)"}[by]
+    with_, body = frequency_sql(keys, n, first, source).rsplit("\nSELECT", 1)
+    return f"{with_}, wk AS ({CTES['wk']})\nSELECT {label} AS label, f.* FROM (SELECT{body}) f LEFT JOIN {join} x USING ({'author' if by == 'author' else 'host_slug, work'})"
+
+
+@query(labelled_sql("work", "host_slug, work", "l", 1, _form(WORD_1)))
+def freq_labels_work(c: Corpus) -> DataFrame:
+    return search.labelled(c, _frequency(c, WORD_1, "form", "work"), "work")
+
+
+@query(labelled_sql("work", "host_slug, work, edition", "l || ' (' || edition || ')'", 2, exact_starts(PHRASE_2.split())))
+def freq_labels_edition(c: Corpus) -> DataFrame:
+    return search.labelled(c, _frequency(c, PHRASE_2, "exact", "edition"), "edition")
+
+
+@query(labelled_sql("author", "author", "l", 1, _form(WORD_1), "ga"))
+def freq_labels_author(c: Corpus) -> DataFrame:
+    return search.labelled(c, _frequency(c, WORD_1, "form", "author"), "author")
+
+
 # Concordance
 
 
@@ -325,8 +401,8 @@ def concordance_sql(order: str) -> str:
 
 
 def _lines(c: Corpus, sort: str) -> DataFrame:
-    s, first, n = search.phrase(c, WORD_1, "exact")
-    lines = search.concordance(c, s, first, n, scope.in_scope(c.editions, c.members))
+    _, first, n = search.phrase(c, WORD_1, "exact")
+    lines = search.concordance(c, first, n, scope.scoped(c))
     return search.page(lines, search.line_order(sort)).select("unit_id", "pos", F.array_join("lefts", " ").alias("lefts"), "keyword", F.array_join("rights", " ").alias("rights"))
 
 
@@ -345,18 +421,38 @@ def concordance_right(c: Corpus) -> DataFrame:
     return _lines(c, "right")
 
 
+@query(
+    sql(
+        """SELECT o.unit_id, o.pos, coalesce(substr(u.text_edited, (l.a + 1)::INT, (l.z - l.a)::INT), '') AS left, substr(u.text_edited, (o.start_char + 1)::INT, (o.end_char - o.start_char)::INT) AS key, coalesce(substr(u.text_edited, (r.a + 1)::INT, (r.z - r.a)::INT), '') AS right
+        FROM (SELECT s.*, t.start_char, t.end_char FROM s JOIN ed e ON e.edition_id = s.edition_id AND e.canonical JOIN tk t ON t.unit_id = s.unit_id AND t.pos = s.pos ORDER BY s.unit_id, s.pos LIMIT 20) o JOIN un u ON u.unit_id = o.unit_id
+        LEFT JOIN LATERAL (SELECT min(start_char) AS a, max(end_char) AS z FROM tk n WHERE n.unit_id = o.unit_id AND n.pos BETWEEN o.pos - 6 AND o.pos - 1) l ON true
+        LEFT JOIN LATERAL (SELECT min(start_char) AS a, max(end_char) AS z FROM tk n WHERE n.unit_id = o.unit_id AND n.pos BETWEEN o.pos + 1 AND o.pos + 6) r ON true""",
+        "tk", "ed", "un",
+        s=exact_starts([WORD_1]),
+    )
+)
+def concordance_lines(c: Corpus) -> DataFrame:
+    """The lines as printed, cut from the texts."""
+    _, first, n = search.phrase(c, WORD_1, "exact")
+    page = search.page(search.concordance(c, first, n, scope.scoped(c)), search.line_order("position"))
+    return search.lines(c, page).select("unit_id", "pos", "left", "key", "right")
+
+
 # Keyness and collocations
 
 
-def keyness_sql(terms: str, in_target: str, limit: int = 50, original: bool = False, *more: str) -> str:
+def keyness_sql(terms: str, target: str, limit: int = 50, original: bool = False, who: str = CTES["who"], what: str = CTES["what"]) -> str:
     xl = lambda a, e: f"CASE WHEN {a} > 0 THEN {a} * ln({a} / ({e})) ELSE 0 END"
     ll = half_up_sql(f"2 * ({xl('a', 't * (a + b) / (t + r)')} + {xl('b', 'r * (a + b) / (t + r)')})", 2)
     lr = half_up_sql("ln((a / t) / ((CASE WHEN b > 0 THEN b ELSE 0.5 END) / r)) / ln(2.0)", 2)
     return sql(
         f"SELECT term, a::BIGINT AS target, b::BIGINT AS reference, {ll} AS log_likelihood, {lr} AS log_ratio, {half_up_sql('a / t * 1000', 1)} AS target_rate, {half_up_sql('b / r * 1000', 1)} AS reference_rate FROM g, z WHERE t > 0 AND r > 0 AND a >= 5 AND a / t > b / r ORDER BY log_likelihood DESC, log_ratio DESC, term LIMIT {limit}",
-        "ed", "un", "vr", "tl", "what",
+        "ed", "un", "vr", "tl", "bor",
         original=original,
-        side=f"SELECT edition_id, ({in_target})::INT AS side FROM ed WHERE canonical",
+        who=who,
+        what=what,
+        target=target,
+        side="SELECT edition_id, (edition_id IN (FROM target))::INT AS side FROM ed WHERE canonical OR edition_id IN (FROM target)",
         z="SELECT sum(token_count) FILTER (side = 1)::DOUBLE AS t, sum(token_count) FILTER (side = 0)::DOUBLE AS r FROM un JOIN side USING (edition_id)",
         g=f"SELECT term, sum(side)::DOUBLE AS a, sum(1 - side)::DOUBLE AS b FROM ({terms}) GROUP BY 1",
     )
@@ -366,27 +462,34 @@ _LEMMAS = "SELECT * FROM (SELECT side, unnest(lemmas) AS term FROM tl JOIN side
 _SURFACES = "SELECT side, surface AS term FROM tk JOIN side USING (edition_id)"
 _AUTHOR = "list_contains(authors, (SELECT author FROM who))"
 _WORK = _AUTHOR + " AND work = (SELECT work FROM what)"
+_OF_AUTHOR = f"SELECT edition_id FROM ed WHERE canonical AND {_AUTHOR}"
+_OF_WORK = in_scope_sql("(SELECT work FROM what)", more=f" AND {_AUTHOR}")
 
 
 def _keyness(c: Corpus, match: str, by_work: bool, version: str = "edited") -> DataFrame:
     author, work = subject(c)
-    universe = scope.flagged(c.editions, None)
-    mine = F.array_contains("authors", F.lit(author))
-    target = universe.filter(mine & (F.col("work") == work) if by_work else mine)
-    return stats.keyness(c, target, universe, match, version)
+    return stats.keyness(c, *stats.sides(c, author, work if by_work else None), match, version)
 
 
-@query(keyness_sql(_LEMMAS, _AUTHOR))
+@query(keyness_sql(_LEMMAS, _OF_AUTHOR))
 def keyness_author(c: Corpus) -> DataFrame:
     return _keyness(c, "form", False)
 
 
-@query(keyness_sql(_LEMMAS, _WORK))
+@query(keyness_sql(_LEMMAS, _OF_WORK))
 def keyness_work(c: Corpus) -> DataFrame:
     return _keyness(c, "form", True)
 
 
-keyness_lemma_text = keyness_sql(_LEMMAS, _AUTHOR, 50, True)
+@query(keyness_sql(_LEMMAS, _OF_WORK, what=f"SELECT {_CHAINED} AS work", who=f"SELECT min(authors[1]) AS author FROM ed WHERE canonical AND work = {_CHAINED}"))
+def keyness_borrowed(c: Corpus) -> DataFrame:
+    """Of a work that borrows from one that borrows: all of it is the target."""
+    work = first_work(c, chained(c))
+    author = c.editions.filter(F.col("canonical") & (F.col("work") == work)).agg(F.min(F.col("authors")[0])).first()[0]
+    return stats.keyness(c, *stats.sides(c, author, work))
+
+
+keyness_lemma_text = keyness_sql(_LEMMAS, _OF_AUTHOR, 50, True)
 
 
 @query(keyness_lemma_text)
@@ -394,7 +497,7 @@ def keyness_original(c: Corpus) -> DataFrame:
     return _keyness(c, "lemma", False, "original")
 
 
-@query(keyness_sql(_SURFACES, _AUTHOR))
+@query(keyness_sql(_SURFACES, _OF_AUTHOR))
 def keyness_exact(c: Corpus) -> DataFrame:
     return _keyness(c, "exact", False)
 
@@ -415,7 +518,7 @@ def colloc_sql(group: str, scope_sql: str = "canonical") -> str:
 
 
 def _colloc(c: Corpus, by: str) -> DataFrame:
-    return stats.collocations(c, WORD_1, scope.in_scope(c.editions, c.members), "form", by)
+    return stats.collocations(c, WORD_1, scope.scoped(c), "form", by)
 
 
 @query(colloc_sql("coalesce(f.lemma, s.surface)"))
@@ -428,6 +531,11 @@ def colloc_exact(c: Corpus) -> DataFrame:
     return _colloc(c, "surface")
 
 
+@query(colloc_sql("s.surface").replace(colloc_sql("s.surface")[colloc_sql("s.surface").rindex("\nSELECT") :], "\nSELECT (SELECT count(*) FROM sc) AS scope_tokens, (SELECT count(*) FROM sc WHERE node) AS node_count, (SELECT count(*) FROM near) AS window_tokens"))
+def colloc_figures(c: Corpus) -> DataFrame:
+    return stats.colloc_figures(c, WORD_1, scope.scoped(c))
+
+
 # Vectors
 
 _COUNTS = "SELECT edition_id, path_key, lemma, count(*) AS c FROM (SELECT unit_id, unnest(lemmas) AS lemma FROM tl) JOIN (SELECT unit_id, edition_id, path_key FROM un) USING (unit_id) GROUP BY 1, 2, 3"
@@ -481,9 +589,14 @@ def similar_edition(c: Corpus) -> DataFrame:
     return vectors.similar(c, *subject(c)).select("host_slug", "work", "edition_id", "score")
 
 
-@query(similar_sql("host_slug, work, edition_id, path_key", " AND path_key = '1'"))
+@query(similar_sql("host_slug, work, edition_id, path_key", f" AND path_key = '{SECTION}'"))
 def similar_section(c: Corpus) -> DataFrame:
-    return vectors.similar(c, *subject(c), path="1").select("host_slug", "work", "edition_id", "path_key", "score")
+    return vectors.similar(c, *subject(c), path=SECTION).select("host_slug", "work", "edition_id", "path_key", "score")
+
+
+@query()
+def similar_answer(c: Corpus) -> DataFrame:
+    return vectors.similar_answer(c, *subject(c), level="work")
 
 
 @query(sql("SELECT lemma FROM q WHERE df <= 0.5 * n OR (SELECT count(*) FILTER (df <= 0.5 * n) FROM q) < least(24, n)", "tl", "un", cnt=_COUNTS, q="SELECT lemma, count(*) AS df, (SELECT count(*) FROM (SELECT DISTINCT edition_id, path_key FROM un)) AS n FROM cnt GROUP BY 1"))
@@ -493,12 +606,17 @@ def topic_columns(c: Corpus) -> DataFrame:
 
 @query()
 def topics_terms(c: Corpus) -> DataFrame:
-    return topics.train(c, vectors.stored(c))[0]
+    return topics.stored(c)[0]
 
 
 @query()
 def topics_mix(c: Corpus) -> DataFrame:
-    return topics.train(c, vectors.stored(c))[1]
+    return topics.stored(c)[1]
+
+
+@query()
+def topic_mix_work(c: Corpus) -> DataFrame:
+    return topics.topic_mix(c, *subject(c), level="work")
 
 
 def _mix(spark: SparkSession, d: str) -> DataFrame:
@@ -558,6 +676,17 @@ def full_text(c: Corpus) -> DataFrame:
     return reading.text_of(c, c.editions.filter("canonical"), "original")
 
 
+@query(sql("SELECT edition_id, unit_id, path_key, block_id, is_title, text_edited AS text, coalesce(CASE WHEN has_editorial THEN text_original END, text_edited) AS original, (row_number() OVER (PARTITION BY edition_id ORDER BY unit_id))::INT AS place FROM un WHERE edition_id IN (SELECT edition_id FROM ed)", "un", "ed"))
+def full_text_both(c: Corpus) -> DataFrame:
+    """Every edition in reading order, both texts."""
+    return reading.ordered_text(c, c.editions, "both")
+
+
+@query(sql("SELECT edition_id, unit_id, block_id, text_edited AS text FROM un WHERE path_key = '' AND is_title AND edition_id IN (SELECT edition_id FROM ed)", "un", "ed"))
+def edition_titles(c: Corpus) -> DataFrame:
+    return reading.title_blocks(c, c.editions)
+
+
 @query(sql(f"SELECT edition_id, unit_id, path_key, block_id, is_title, text_edited AS text FROM un WHERE (path_key = '1' OR starts_with(path_key, '1/')) AND {_CANON}", "un", "ed"))
 def section_full(c: Corpus) -> DataFrame:
     return reading.text_of(c, c.editions.filter("canonical"), path="1")
@@ -580,7 +709,7 @@ def matching_editions(c: Corpus) -> DataFrame:
 
 # Comparison
 
-_PAIRS = "SELECT * FROM (SELECT host_slug, work, edition_id AS a, lead(edition_id) OVER (PARTITION BY host_slug, work ORDER BY edition, edition_id) AS b FROM ed) WHERE b IS NOT NULL"
+_PAIRS = "SELECT x.host_slug, x.work, x.edition_id AS a, y.edition_id AS b FROM ed x JOIN ed y ON x.host_slug = y.host_slug AND x.work = y.work AND (x.edition, x.edition_id) < (y.edition, y.edition_id)"
 
 
 @query(sql("SELECT a, b, path_key, bool_or(side = 1) AS in_a, bool_or(side = 2) AS in_b FROM (SELECT a, b, path_key, 1 AS side FROM pr JOIN sec ON edition_id = a UNION ALL SELECT a, b, path_key, 2 FROM pr JOIN sec ON edition_id = b) WHERE path_key <> '' GROUP BY 1, 2, 3", "sec", "ed", pr=_PAIRS))
@@ -613,6 +742,18 @@ def diff_blocks(c: Corpus) -> DataFrame:
     return compare.block_status(c, compare.paired(c)).select("a", "b", "path_key", "block", "status")
 
 
+@query(sql("SELECT a, b, path_key, lag(path_key) OVER w AS previous, lead(path_key) OVER w AS next FROM (SELECT p.a, p.b, s.path_key, s.ordinal FROM pr p JOIN sec s ON s.edition_id = p.a JOIN sec t ON t.edition_id = p.b AND t.path_key = s.path_key WHERE s.path_key <> '') WINDOW w AS (PARTITION BY a, b ORDER BY ordinal)", "sec", "ed", pr=_PAIRS))
+def compare_nav(c: Corpus) -> DataFrame:
+    return compare.neighbours_in_both(c, compare.paired(c))
+
+
+@query()
+def compare_blocks(c: Corpus) -> DataFrame:
+    """The comparison of each section of each two editions: blocks in order, what changed in them, and it all as one text."""
+    o = compare.diff_ops(compare.ordered_blocks(c, compare.paired(c)))
+    return o.select("a", "b", "path_key", "ordinal", "block", "kind", "ops", compare.as_text(F.col("ops")).alias("marked"))
+
+
 @query()
 def diff_ops(c: Corpus) -> DataFrame:
     return compare.diff_ops(compare.block_status(c, compare.paired(c))).select("a", "b", "path_key", "block", "status", "ops")

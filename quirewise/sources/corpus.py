@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions.text import fold_ascii, fold_odd
+from quirewise.session import fits, join_lookup
 
 GROWING = ("works", "editions", "units", "tokens", "topic_docs", "topic_mix", "documents", "doc_labels")
 
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def latest(df: DataFrame, key: str, stamp: str, *first: str) -> DataFrame:
     """The rows of each key with its latest stamp, exact copies once. A null stamp is older than any other;
     rows of a null key are one group. One exchange by the key and one sort, through which rows stream (and
-    spill): the newest stamp comes first and an exact copy stands beside its like."""
+    spill): the newest stamp comes first and an exact copy stands beside its like. Texts are sorted by two digests, and
+    compared themselves."""
     rest = [*first, *(c for c in df.columns if c not in (key, stamp, *first))]
-    w = Window.partitionBy(key).orderBy(F.col(stamp).desc_nulls_last(), *rest)
+    texts = [c for c, t in df.dtypes if c in rest and t == "string" and c.startswith("text")]
+    digests = [F.xxhash64(F.lit(seed), *texts) for seed in (1, 2)] if texts else []
+    w = Window.partitionBy(key).orderBy(F.col(stamp).desc_nulls_last(), *(c for c in rest if c not in texts), *digests)
     newest, copy = F.first(stamp).over(w), F.row_number().over(w) > 1
     for c in (stamp, *rest):
         copy = copy & F.lag(c).over(w).eqNullSafe(F.col(c))
@@ -68,27 +72,24 @@ def reading_lemmas(readings: DataFrame) -> DataFrame:
     )
 
 
-#: Up to so many rows the register of readings is broadcast; beyond, it is joined by an exchange.
-REGISTER_ROWS = 200_000
-
-
 def register(readings: DataFrame) -> DataFrame:
     """surface, by_idx: all readings of a registered surface as a map from reading_idx to lemmas, so that one
-    join finds both whether a surface is registered and the reading asked for. Broadcast if it is small."""
-    r = reading_lemmas(readings).groupBy("surface").agg(F.map_from_entries(F.collect_list(F.struct("reading_idx", "lemmas"))).alias("by_idx"))
-    few = len(r.limit(REGISTER_ROWS + 1).select(F.lit(1)).take(REGISTER_ROWS + 1)) <= REGISTER_ROWS
-    return F.broadcast(r) if few else r
+    join finds both whether a surface is registered and the reading asked for."""
+    return reading_lemmas(readings).groupBy("surface").agg(F.map_from_entries(F.collect_list(F.struct("reading_idx", "lemmas"))).alias("by_idx"))
 
 
-def with_lemmas(tokens: DataFrame, readings: DataFrame, surface: str = "surface", idx: str = "reading_idx") -> DataFrame:
+def with_lemmas(tokens: DataFrame, readings: DataFrame, surface: str = "surface", idx: str = "reading_idx", few: bool | None = None) -> DataFrame:
     """tokens with `lemmas`: those of the reading named (null = 0); else of a possessive's registered base, joined
-    to one lemma; else, and for reading -1, the words of the surface."""
+    to one lemma; else, and for reading -1, the words of the surface. The register is broadcast where it fits (few:
+    whether it does, where that is known); beyond, a surface's rows are spread."""
     reg = register(readings)
+    few = fits(reg) if few is None else few
     clitic = F.col(surface).endswith("'s")
     base = F.when(clitic, F.expr(f"substring({surface}, 1, length({surface}) - 2)"))
     i = F.coalesce(F.col(idx), F.lit(0))
-    t = tokens.join(reg.select(F.col("surface").alias("__s"), F.col("by_idx").alias("__own")), F.col(surface) == F.col("__s"), "left")
-    t = t.join(reg.select(F.col("surface").alias("__b"), F.col("by_idx").alias("__base")), base == F.col("__b"), "left")
+    t = tokens.withColumns({"__s": F.col(surface), "__b": base})
+    t = join_lookup(t, reg.select(F.col("surface").alias("__s"), F.col("by_idx").alias("__own")), "__s", "left", few)
+    t = join_lookup(t, reg.select(F.col("surface").alias("__b"), F.col("by_idx").alias("__base")), "__b", "left", few)
     own = F.col("__own")[i]
     of_base = F.when(F.col("__own").isNull(), F.array(F.array_join(F.col("__base")[i], " ")))
     found: Column = F.when(F.col("__base")[i].isNotNull() & F.col("__own").isNull(), of_base).otherwise(own)

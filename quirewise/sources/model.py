@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirewise.session import fits
 from quirewise.sources import corpus as tables
 
 
@@ -26,21 +27,40 @@ class Corpus:
     authors: DataFrame | None = None
     #: The compiled vocabulary, where there is one.
     compiled: DataFrame | None = None
-    #: The sections' lemma weights, once they were asked for.
+    #: What is borrowed, directly or in turn, where it is compiled.
+    borrowed: DataFrame | None = None
+    #: A copy of the edited tokens that lies in the order of surfaces, where there is one.
+    postings: DataFrame | None = None
+    #: The sections' lemma weights, the lengths of their groups and the topics, once they were asked for.
     weights: DataFrame | None = None
+    norms: dict[str, DataFrame] = field(default_factory=dict)
+    topic_terms: DataFrame | None = None
+    topic_mix: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.editions.sparkSession
 
-    def version(self, version: str) -> DataFrame:
-        """Tokens of a version: the original text is the edited one, but for the units that editors touched."""
+    def version(self, version: str, by_surface: bool = False) -> DataFrame:
+        """Tokens of a version: the original text is the edited one, but for the units that editors touched. by_surface: they
+        will be looked for by their surfaces, so the copy in that order serves best, if there is one."""
+        tokens = self.postings if by_surface and self.postings is not None else self.tokens
         if version == "edited":
-            return self.tokens
+            return tokens
         if version != "original":
             raise ValueError(f"version must be edited or original, not {version!r}")
         touched = self.units.filter("has_editorial").select("unit_id")
-        return self.tokens.join(touched, "unit_id", "left_anti").unionByName(self.originals.join(touched, "unit_id", "left_semi"))
+        return tokens.join(touched, "unit_id", "left_anti").unionByName(self.originals.join(touched, "unit_id", "left_semi").select(*tokens.columns))
+
+    @cached_property
+    def few_registered(self) -> bool:
+        """Whether the register may be broadcast; counted once."""
+        return fits(tables.register(self.readings))
+
+    @cached_property
+    def longest(self) -> int:
+        """Words of the longest printed surface."""
+        return self.vocabulary_readings.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
 
     @cached_property
     def register(self) -> DataFrame:
@@ -54,11 +74,14 @@ class Corpus:
         touched = self.units.filter("has_editorial").select("unit_id")
         return self.tokens.select("surface").unionByName(self.originals.join(touched, "unit_id", "left_semi").select("surface")).distinct()
 
-    @cached_property
+    @property
     def vocabulary_readings(self) -> DataFrame:
-        """The same of every printed surface: its own entry, else that of a possessive's base, else its own words."""
-        if self.compiled is not None:
-            return self.compiled
+        """The same of every printed surface: its own entry, else that of a possessive's base, else its own words. Read from
+        the compiled table, if there is one."""
+        return self.compiled if self.compiled is not None else self._derived_readings
+
+    @cached_property
+    def _derived_readings(self) -> DataFrame:
         printed = self.printed
         reg = self.register
         known = reg.select("surface").distinct()
@@ -82,14 +105,20 @@ class Corpus:
 
     def lemmas(self, tokens: DataFrame) -> DataFrame:
         """tokens with the lemmas of their resolved reading."""
-        return tables.with_lemmas(tokens, self.readings)
+        return tables.with_lemmas(tokens, self.readings, few=self.few_registered)
+
+
+#: Works of a host that make up one chain of the stand-in for borrowing.
+CHAIN = 4
 
 
 def derived_members(editions: DataFrame) -> DataFrame:
-    """A deterministic stand-in for the test tables, which hold no borrowing: of a host with several works, the canonical
-    editions of the first borrow all editions of the last (by code point)."""
-    ends = editions.groupBy("host_slug").agg(F.min("work").alias("a"), F.max("work").alias("b")).filter("a < b")
-    left = editions.filter("canonical").join(ends.select("host_slug", F.col("a").alias("work"), "b"), ["host_slug", "work"]).select("edition_id", "host_slug", "b")
+    """A deterministic stand-in for the test tables, which hold no borrowing: a host's works, by code point, form chains of
+    four, along which the canonical editions of each work borrow all editions of the next."""
+    works = editions.select("host_slug", "work").distinct().withColumn("n", F.row_number().over(Window.partitionBy("host_slug").orderBy("work")))
+    following = works.filter((F.col("n") - 1) % CHAIN != 0).select("host_slug", F.col("work").alias("b"), (F.col("n") - 1).alias("n"))
+    steps = works.join(following, ["host_slug", "n"]).drop("n")
+    left = editions.filter("canonical").join(steps, ["host_slug", "work"]).select("edition_id", "host_slug", "b")
     right = editions.select("host_slug", F.col("work").alias("b"), F.col("edition_id").alias("member_id"))
     return left.join(right, ["host_slug", "b"]).select("edition_id", "member_id")
 

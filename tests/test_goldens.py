@@ -138,12 +138,12 @@ def test_overlaps(spark):
     s, first, n = search.phrase(c, "echo echo", "exact")
     sc = scope.in_scope(c.editions, c.members)
     assert search.frequency(c, first, n, sc).first()["count"] == 2
-    assert search.concordance(c, s, first, n, sc).count() == 1
+    assert search.concordance(c, first, n, sc).count() == 1
 
 
 def test_concordance_window(corpus):
     s, first, n = search.phrase(corpus, "liberty", "exact")
-    lines = search.concordance(corpus, s, first, n, corpus.editions, 2).orderBy("unit_id").collect()
+    lines = search.concordance(corpus, first, n, corpus.editions, 2).orderBy("unit_id").collect()
     assert (lines[0].lefts, lines[0].rights, lines[0].cut_left, lines[0].cut_right) == (["the"], ["of", "the"], False, True)
     assert (lines[1].lefts, lines[1].keyword) == (["natural", "the"], "liberty")
 
