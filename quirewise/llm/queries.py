@@ -8,6 +8,7 @@ from quirewise.plans.prelude import sql
 QUERIES = {
     "p1_found": vocabulary.p1_found,
     "p1_vocabulary": vocabulary.p1_vocabulary,
+    "p1_ngrams": vocabulary.p1_ngrams,
     "p2_found": distinctive.p2_found,
     "p2_distinctive": distinctive.p2_distinctive,
     "p3_found": neighbours.p3_found,
@@ -36,6 +37,12 @@ _TERMS = {
 ORACLE: dict[str, str] = {
     "p1_found": sql("SELECT term_kind, term, mark FROM voc WHERE mark IS NOT NULL", "tl", **_TERMS),
     "p1_vocabulary": sql("SELECT * FROM voc", "tl", **_TERMS),
+    "p1_ngrams": sql(
+        "SELECT term_kind, term, NULL::VARCHAR AS next, count(*) AS occurrences, count(DISTINCT unit_id) AS units FROM seq GROUP BY 1, 2 UNION ALL SELECT term_kind, term, next, count(*), count(DISTINCT unit_id) FROM seq WHERE next IS NOT NULL GROUP BY 1, 2, 3",
+        "tl",
+        terms="SELECT unit_id, 'surface' AS term_kind, pos, 0 AS i, surface AS term FROM tk UNION ALL SELECT unit_id, 'lemma', pos, generate_subscripts(lemmas, 1), unnest(lemmas) FROM tl",
+        seq="SELECT *, lead(term) OVER (PARTITION BY unit_id, term_kind ORDER BY pos, i, term) AS next FROM terms",
+    ),
     "p2_found": sql(
         "SELECT doc_id, surface FROM n WHERE tokens >= 60 AND weight >= 0.3",
         "tk",

@@ -1,14 +1,18 @@
 """Problem 1: how often every term, or run of terms, occurs, and in how many records.
 
-Suffix-sorted counting. Every position of a record starts a suffix, truncated to `sigma` terms. Suffixes are
-routed by their first term and sorted in reverse lexicographic order, so that whatever shares a prefix stands
-together; one pass over the sorted rows counts all prefixes with a stack whose entry k holds the open prefix
-of k + 1 terms, its occurrences and its records.
-
-Scale. A frequent first term would fill one task, so a route is (first term, salt of the record): the records
-of two salts are disjoint, hence the partial record counts of a prefix add up exactly. Equal suffixes of one
-record are combined before they are routed, and with sigma = 1, where a suffix has no longer neighbour whose
-records it would have to share, so are those of one salt; then only distinct terms travel.
+Suffix-sorted counting. Every position of a record starts a suffix, truncated to `sigma` terms. Suffixes are routed by
+their terms and sorted in reverse lexicographic order, so that whatever shares a prefix stands together; one pass over the
+sorted rows counts all prefixes with a stack whose entry k holds the open prefix of k + 1 terms, its occurrences and its
+records. Nothing else counts: a term's figures are those of the prefix of length 1.
+
+Records. A stack that gathers sets of records grows with them. Here each record marks, of its suffixes that share a prefix,
+the first: a suffix carries for each length k how many records have it as their first with that prefix of k terms. Those
+numbers add up, over suffixes and over records, to the number of records of the prefix, so the stack holds sigma rows of
+three numbers, whatever the corpus.
+
+Scale. As all a suffix carries adds up, equal suffixes are combined before they travel, and a frequent first term is
+spread over its continuations: a route is the hash of the suffix, whose partial counts of a prefix are added at the end.
+With sigma = 1 a term is its own suffix, and after the combination one row.
 """
 
 from __future__ import annotations
@@ -21,83 +25,66 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirewise.session import partitions
 from quirewise.sources.corpus import run_tokens, table, token_units, with_lemmas
 
 RARE_UNITS, COMMON_SHARE = 2, 0.2
 
 
-def _runs(suffixes: list[pa.Array], opens: np.ndarray) -> np.ndarray:
-    """Rows at which the term of a sorted column, or anything before it, changes."""
-    out = opens.copy()
-    for col in suffixes:
-        codes = col.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        out[1:] |= codes[1:] != codes[:-1]
+def _changes(col: pa.Array) -> np.ndarray:
+    """Rows at which a column differs from the row before; the first is one."""
+    out = np.ones(len(col), bool)
+    if len(col) > 1:
+        before, here = col.slice(0, len(col) - 1), col.slice(1)
+        out[1:] = pc.or_(pc.fill_null(pc.not_equal(before, here), False), pc.xor(before.is_null(), here.is_null())).to_numpy(zero_copy_only=False)
     return out
 
 
-def count_sorted(t: pa.Table, sigma: int, by_record: bool) -> pa.Table:
-    """All prefixes of a sorted table of whole routes: term_1 .. term_sigma, n, and record, or else the number
-    of records. The stack is kept as columns: at depth k the rows where its entry k is popped and pushed anew."""
-    rows = t.num_rows
-    heads = np.zeros(rows, bool)
-    heads[0] = True
-    kind = t["kind"].combine_chunks()
-    terms = [t[f"term_{k + 1}"].combine_chunks() for k in range(sigma)]
-    n = t["n"].to_numpy()
-    salt = t["salt"].to_numpy()
-    heads[1:] |= salt[1:] != salt[:-1]
-    heads = _runs([kind], heads)
-    parts = []
-    for k in range(sigma):
-        heads = _runs([terms[k]], heads)
-        there = terms[k].is_valid().to_numpy(zero_copy_only=False)
-        run = np.cumsum(heads) - 1
-        first = np.flatnonzero(heads)
-        times = np.add.reduceat(np.where(there, n, 0), first)
-        if by_record:
-            record = t["record"].to_numpy()
-            order = np.lexsort((record, run))
-            r, d = run[order], record[order]
-            new = np.ones(rows, bool)
-            new[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
-            records = np.bincount(r[new], minlength=len(first))
-        else:
-            records = np.add.reduceat(np.where(there, t["records"].to_numpy(), 0), first)
-        keep = first[there[first]]
-        at = pa.array(keep)
-        cols = [pc.take(terms[j], at) if j <= k else pa.nulls(len(keep), pa.string()) for j in range(sigma)]
-        ok = there[first]
-        parts.append(pa.table([pc.take(kind, at), *cols, pa.array(times[ok]), pa.array(records[ok].astype(np.int64))], names=["kind", *(f"term_{j + 1}" for j in range(sigma)), "occurrences", "records"]))
-    return pa.concat_tables(parts)
-
-
-def _stack(sigma: int, by_record: bool):
+def _stack(sigma: int):
+    """Sorted suffixes with n and first_1 .. first_sigma -> their prefixes with occurrences and records. A prefix that is open
+    at the end of a batch stays on the stack; within a batch, what is pushed and popped again is counted by runs."""
+    names = [f"term_{k + 1}" for k in range(sigma)]
+    schema = pa.schema([("kind", pa.string()), *((x, pa.string()) for x in names), ("occurrences", pa.int64()), ("records", pa.int64())])
+
+    def popped(entry: tuple) -> pa.RecordBatch:
+        key, n, records = entry
+        row = [*key, *[None] * (sigma + 1 - len(key)), n, records]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        stack: list[tuple | None] = [None] * sigma
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            # A route ends where kind, first term or salt changes; the open one is held for the next batch.
-            key = np.zeros(t.num_rows, bool)
-            salt = t["salt"].to_numpy()
-            key[1:] = salt[1:] != salt[:-1]
-            cut = np.flatnonzero(_runs([t["kind"].combine_chunks(), t["term_1"].combine_chunks()], key))
-            last = int(cut[-1]) if len(cut) else 0
-            if last:
-                whole = pa.concat_tables([*held, t.slice(0, last)])
-                yield from count_sorted(whole.combine_chunks(), sigma, by_record).combine_chunks().to_batches()
-                held = [t.slice(last)]
-            else:
-                held.append(t)
-        if held:
-            yield from count_sorted(pa.concat_tables(held).combine_chunks(), sigma, by_record).combine_chunks().to_batches()
+            cols = [b.column("kind"), *(b.column(x) for x in names)]
+            changed, n = _changes(cols[0]), b.column("n").to_numpy()
+            for k in range(sigma):
+                changed = changed | _changes(cols[k + 1])
+                first = np.flatnonzero(changed)
+                times = np.add.reduceat(n, first)
+                records = np.add.reduceat(b.column(f"first_{k + 1}").to_numpy(), first)
+                key = tuple(c[0].as_py() for c in cols[: k + 2])
+                if stack[k] is not None:
+                    if stack[k][0] == key:
+                        times[0] += stack[k][1]
+                        records[0] += stack[k][2]
+                    else:
+                        yield popped(stack[k])
+                last = int(first[-1])
+                key = tuple(c[last].as_py() for c in cols[: k + 2])
+                stack[k] = (key, int(times[-1]), int(records[-1])) if key[-1] is not None else None
+                done = cols[k + 1].take(pa.array(first[:-1])).is_valid().to_numpy(zero_copy_only=False)
+                at = pa.array(first[:-1][done])
+                if len(at):
+                    out = [c.take(at) if j <= k + 1 else pa.nulls(len(at), pa.string()) for j, c in enumerate(cols)]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(times[:-1][done]), pa.array(records[:-1][done])], schema=schema)
+        for entry in stack:
+            if entry is not None:
+                yield popped(entry)
 
     return run
 
 
-def ngram_counts(terms: DataFrame, record: str, pos: list[str], term: str, kind: str, sigma: int = 1, salts: int | None = None) -> DataFrame:
+def ngram_counts(terms: DataFrame, record: str, pos: list[str], term: str, kind: str, sigma: int = 1) -> DataFrame:
     """kind, ngram ARRAY<STRING>, occurrences, records: of all runs of 1 to sigma terms.
 
     terms: one row a term; `record` a whole number, `pos` orders a record's terms, `kind` keeps several
@@ -106,27 +93,24 @@ def ngram_counts(terms: DataFrame, record: str, pos: list[str], term: str, kind:
     taken in the order of their terms. Other columns are ignored, whatever their names. An empty table gives
     no rows.
     """
-    spark = terms.sparkSession
-    salts = salts or partitions(spark)
     t = terms.select(F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), F.col(record).cast("long").alias("record"), F.col(term).alias("term_1"), *(F.col(p).alias(f"__p{i}") for i, p in enumerate(pos))).filter("term_1 IS NOT NULL AND record IS NOT NULL")
     names = [f"term_{k + 1}" for k in range(sigma)]
-    if sigma > 1:
-        w = Window.partitionBy("record", "kind").orderBy(*(f"__p{i}" for i in range(len(pos))), "term_1")
-        t = t.withColumns({f"term_{k + 1}": F.lead("term_1", k).over(w) for k in range(1, sigma)})
-    # Where the rows are partitioned by the record already, this needs no exchange.
-    rows = t.groupBy("record", "kind", *names).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)).cast("int"))
+    # Where the rows are partitioned by the record already, nothing up to the combination needs an exchange.
     if sigma == 1:
-        # The exchange of this aggregate is the routing.
-        routed = rows.groupBy("kind", "term_1", "salt").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("records"))
+        rows = t.groupBy("record", "kind", "term_1").agg(F.count(F.lit(1)).alias("n")).withColumn("first_1", F.lit(1))
     else:
-        routed = rows.repartition("kind", "term_1", "salt")
-    down = [F.col(x).desc_nulls_last() for x in names]
-    by_record = sigma > 1
-    cols = ["kind", *names, "salt", "n", "record" if by_record else "records"]
-    ordered = routed.sortWithinPartitions("kind", down[0], "salt", *down[1:]).select(*cols)
+        w = Window.partitionBy("record", "kind").orderBy(*(f"__p{i}" for i in range(len(pos))), "term_1")
+        t = t.select("record", "kind", *(F.lead("term_1", k).over(w).alias(x) for k, x in enumerate(names)))
+        by = Window.partitionBy("record", "kind").orderBy(*names)
+        new = [~F.lag(x).over(by).eqNullSafe(F.col(x)) for x in names]
+        for k in range(1, sigma):
+            new[k] = new[k] | new[k - 1]
+        rows = t.select("kind", *names, F.lit(1).alias("n"), *(x.cast("int").alias(f"first_{k + 1}") for k, x in enumerate(new)))
+    sums = [F.sum(c).alias(c) for c in ("n", *(f"first_{k + 1}" for k in range(sigma)))]
+    routed = rows.groupBy("kind", *names).agg(*sums)
+    ordered = routed.sortWithinPartitions("kind", *(F.col(x).desc_nulls_last() for x in names))
     schema = "kind string, " + ", ".join(f"{x} string" for x in names) + ", occurrences long, records long"
-    part = ordered.mapInArrow(_stack(sigma, by_record), schema)
+    part = ordered.mapInArrow(_stack(sigma), schema)
     return (
         part.groupBy("kind", *names)
         .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
@@ -148,9 +132,17 @@ def token_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("unit_id", "pos", F.posexplode(terms).alias("word", "x")).select("unit_id", "pos", "word", "x.term_kind", "x.term")
 
 
+#: Terms of the longest runs that the queries count; single terms come out of the same pass.
+SIGMA = 2
+
+
+def token_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_counts(token_terms(spark, sf_dir), "unit_id", ["pos", "word"], "term", "term_kind", SIGMA)
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """term_kind, term, occurrences, units, mark of every folded surface and lemma of the counted tokens."""
-    c = ngram_counts(token_terms(spark, sf_dir), "unit_id", ["pos", "word"], "term", "term_kind")
+    c = token_ngrams(spark, sf_dir).filter(F.size("ngram") == 1)
     total = token_units(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
     return marked(c, total).select(F.col("kind").alias("term_kind"), F.col("ngram")[0].alias("term"), "occurrences", F.col("records").alias("units"), "mark")
 
@@ -161,3 +153,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(spark, sf_dir)
+
+
+def p1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term_kind, term, next (null for a single term), occurrences, units of every term and of each two that follow each
+    other within a unit."""
+    c = token_ngrams(spark, sf_dir)
+    return c.select(F.col("kind").alias("term_kind"), F.col("ngram")[0].alias("term"), F.get("ngram", F.lit(1)).alias("next"), "occurrences", F.col("records").alias("units"))

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,11 +43,32 @@ def test_ngrams(spark, sigma):
     rows = [(rng.randint(1, 12), i, rng.choice("aaaabcd"), rng.choice(["x", "y"])) for i in range(400)]
     rows += [(None, 1, "a", "x"), (3, 9999, None, "x"), (5, 10_000, "é", None)]
     df = spark.createDataFrame([(*r, "other") for r in rows], "doc long, p long, word string, kind string, n string").withColumnRenamed("n", "records")
-    got = vocabulary.ngram_counts(df, "doc", ["p"], "word", "kind", sigma, salts=3).collect()
+    got = vocabulary.ngram_counts(df, "doc", ["p"], "word", "kind", sigma).collect()
     assert {(r.kind, tuple(r.ngram)): (r.occurrences, r.records) for r in got} == plain_ngrams(rows, sigma)
     assert len(got) == len(plain_ngrams(rows, sigma))
 
 
+def test_stack_keeps_what_is_open():
+    rows = [("x", "b", "b", 2, 1, 1), ("x", "b", "a", 1, 1, 1), ("x", "b", None, 3, 2, 0), ("x", "a", None, 1, 1, 0), ("y", "a", "c", 4, 2, 2)]
+    cols = list(zip(*rows))
+    names = ["kind", "term_1", "term_2", "n", "first_1", "first_2"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+    want = {("x", "b", "b"): (2, 1), ("x", "b", "a"): (1, 1), ("x", "b", None): (6, 4), ("x", "a", None): (1, 1), ("y", "a", "c"): (4, 2), ("y", "a", None): (4, 2)}
+    for cuts in ([5], [1, 1, 1, 1, 1], [2, 3], [4, 1]):
+        at, parts = 0, []
+        for n in cuts:
+            parts.append(whole.slice(at, n))
+            at += n
+        out = [r for b in vocabulary._stack(2)(iter(parts)) for r in b.to_pylist()]
+        assert {(r["kind"], r["term_1"], r["term_2"]): (r["occurrences"], r["records"]) for r in out} == want and len(out) == len(want)
+
+
+def test_vocabulary_comes_from_the_stack(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, "a", "k"), (1, 2, "b", "k"), (2, 1, "a", "k")], "doc long, p long, word string, kind string")
+    monkeypatch.setattr(vocabulary, "_stack", lambda sigma: lambda batches: iter(()))
+    assert vocabulary.ngram_counts(df, "doc", ["p"], "word", "kind", 2).count() == 0
+
+
 def test_ngrams_empty_and_marks(spark):
     empty = spark.createDataFrame([], "doc long, p long, word string, kind string")
     assert vocabulary.ngram_counts(empty, "doc", ["p"], "word", "kind", 2).count() == 0
