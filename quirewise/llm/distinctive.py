@@ -8,7 +8,12 @@ expectation-maximisation separates them:
 
 with c the count in the record, q the share of the term in the collection and p started at the record's own
 shares. Terms that the collection explains lose their mass to those that it doesn't; the converged p ranks a
-record's terms. Beside it stands the normalised TF-IDF weight, by which p2_found is exactly checked.
+record's terms, ties by term.
+
+Candidates. p2_found asks for a least TF-IDF weight w, normalised so that a record's squared weights sum to 1. The terms
+are taken in the rank of the model, and `rest` says how much of that sum the term and all ranked after it hold: once it
+falls below w * w, no term from there on can weigh w. So the candidates are the terms with rest >= w * w, and no term that
+qualifies is lost, however the model ranks; the weight of the candidates is then checked exactly.
 
 Scale. Counts are combined per unit before they travel to their record, so a record's rows are its distinct
 terms, which the vocabulary bounds. The counted table is staged in buckets by record: neither the background
@@ -25,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirewise.session import stage, stage_bucketed
+from quirewise.session import fits, join_lookup, stage, stage_bucketed
 from quirewise.sources.corpus import latest, run_tokens, table
 
 #: Weight of a record's own model in the mixture, and the change of p at which it has converged.
 OWN, CONVERGED = 0.1, 1e-6
 #: At most so many rows of the background are broadcast.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS, HOT_BYTES = 400_000, 64
 LEAST_TOKENS, LEAST_WEIGHT = 60, 0.3
 
 
@@ -54,6 +59,22 @@ def parsimonious(c: np.ndarray, q: np.ndarray, starts: np.ndarray, own: float =
     return p
 
 
+def ranked(p: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rank of each row within its record by p, from 1, equal p in the order of the rows; rest: the squared weights of the
+    row and of those ranked after it in its record."""
+    size = np.diff(np.append(starts, len(p)))
+    record = np.repeat(np.arange(len(starts)), size)
+    order = np.lexsort((-p, record))  # keeps the order of rows
+    rank, rest = np.empty(len(p), np.int32), np.empty(len(p))
+    rank[order] = np.arange(len(p)) - np.repeat(starts, size) + 1
+    # From the end of each record, so that the sums that matter are those of few and small numbers.
+    square = (w * w)[order]
+    back = np.cumsum(square[::-1])[::-1]
+    after = np.append(back, 0.0)[np.append(starts[1:], len(p))]
+    rest[order] = back - np.repeat(after, size)
+    return rank, rest
+
+
 def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole records from batches sorted by the key."""
     held: list[pa.Table] = []
@@ -85,18 +106,20 @@ def _model(own: float):
             w = (1 + np.log(c)) * t["idf"].to_numpy()
             size = np.diff(np.append(starts, len(c)))
             w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), size)
-            out = pa.table({"record": t["record"], "term": t["term"], "c": t["c"], "tokens": t["tokens"], "p": p, "weight": w})
+            rank, rest = ranked(p, w, starts)
+            out = pa.table({"record": t["record"], "term": t["term"], "c": t["c"], "tokens": t["tokens"], "p": p, "rank": rank, "rest": rest, "weight": w})
             yield from out.combine_chunks().to_batches()
 
     return run
 
 
 def distinctive(counts: DataFrame, own: float = OWN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """record, term, c, tokens, p, weight of every term of every record.
+    """record, term, c, tokens, p, rank, rest, weight of every term of every record.
 
     counts: record (a whole number), term, c > 0, one row each; rows with a null record or term, or without a
     positive count, take no part. p: converged share in the record's own model; no term is dropped, however
-    small its share, so no later check loses one. weight: (1 + ln c) * (ln((N + 1) / (df + 1)) + 1), normalised to
+    small its share, so no later check loses one. rank: by p, from 1, ties by term; rest: the squared weights of the
+    term and of all that rank after it. weight: (1 + ln c) * (ln((N + 1) / (df + 1)) + 1), normalised to
     length 1 over the record. Further columns are ignored. An empty table gives no rows.
     """
     c = counts.select(F.col("record").cast("long").alias("record"), F.col("term").cast("string").alias("term"), F.col("c").cast("long").alias("c")).filter("record IS NOT NULL AND term IS NOT NULL AND c > 0")
@@ -108,19 +131,21 @@ def distinctive(counts: DataFrame, own: float = OWN, broadcast_rows: int = BROAD
     idf = F.log(F.lit(records + 1.0) / (F.col("df") + 1)) + 1
     back = back.select("term", "df", q.alias("q"), idf.alias("idf"))
     cols = ["record", "term", "c", "q", "idf"]
-    if terms <= broadcast_rows:
+    if terms <= broadcast_rows and fits(back.select("term"), broadcast_rows):
         joined = c.join(F.broadcast(back), "term").select(*cols)
     else:
-        # A term in more than `least` records is one of at most broadcast_rows; the others travel by term, and
-        # no term brings more than `least` rows to a task.
+        # A term in more than `least` records is one of at most broadcast_rows (and of HOT_BYTES at most, so that the
+        # bytes are bounded too); the others travel by term, spread where a term is longer and frequent.
         least = max(1, -(-c.count() // broadcast_rows))
-        hot, cold = back.filter(F.col("df") > least), back.filter(F.col("df") <= least)
+        is_hot = (F.col("df") > least) & (F.octet_length("term") <= HOT_BYTES)
+        hot, cold = back.filter(is_hot), back.filter(~is_hot)
         known = c.join(F.broadcast(hot), "term", "left")
-        rest = known.filter("q IS NULL").select("record", "term", "c").join(cold, "term")
+        rest = join_lookup(known.filter("q IS NULL").select("record", "term", "c"), cold, "term", few=False)
         joined = known.filter("q IS NOT NULL").select(*cols).unionByName(rest.select(*cols))
-    schema = "record long, term string, c long, tokens long, p double, weight double"
-    # The window both keeps the buckets of the scan together and leaves the rows sorted by record.
-    whole = joined.withColumn("tokens", F.sum("c").over(Window.partitionBy("record")))
+    schema = "record long, term string, c long, tokens long, p double, rank int, rest double, weight double"
+    # The window both keeps the buckets of the scan together and leaves the rows sorted by record and term.
+    by = Window.partitionBy("record").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = joined.withColumn("tokens", F.sum("c").over(by))
     return whole.mapInArrow(_model(own), schema)
 
 
@@ -136,9 +161,16 @@ def section_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = distinctive(section_surfaces(spark, sf_dir))
-    return d.select(F.col("record").alias("doc_id"), F.col("term").alias("surface"), "c", "tokens", "p", "weight")
+    return d.select(F.col("record").alias("doc_id"), F.col("term").alias("surface"), "c", "tokens", "p", "rank", "weight")
+
+
+def candidates(found: DataFrame, least: float) -> DataFrame:
+    """Of distinctive() the terms that may weigh `least` or more, by their rank in the model: none after them can. (rest is
+    a difference of sums, hence the small allowance for their rounding.)"""
+    return found.filter(F.col("rest") >= least * least - 1e-6)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = p2_distinctive(spark, sf_dir)
-    return d.filter((F.col("tokens") >= LEAST_TOKENS) & (F.col("weight") >= LEAST_WEIGHT)).select("doc_id", "surface")
+    d = candidates(distinctive(section_surfaces(spark, sf_dir)), LEAST_WEIGHT)
+    d = d.filter((F.col("tokens") >= LEAST_TOKENS) & (F.col("weight") >= LEAST_WEIGHT))
+    return d.select(F.col("record").alias("doc_id"), F.col("term").alias("surface"))

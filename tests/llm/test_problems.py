@@ -113,9 +113,31 @@ def test_distinctive(spark):
         got = distinctive.distinctive(df, broadcast_rows=most).collect()
         assert {(r.record, r.term): r.weight for r in got} == pytest.approx(want)
         assert {r.record: r.tokens for r in got} == {1: 4, 2: 3, 3: 1}
+    for r in {1, 2, 3}:
+        mine = sorted((x for x in got if x.record == r), key=lambda x: x.rank)
+        assert [x.rank for x in mine] == list(range(1, len(mine) + 1)) and [(-x.p, x.term) for x in mine] == sorted((-x.p, x.term) for x in mine)
+        assert [x.rest for x in mine] == pytest.approx([sum(y.weight**2 for y in mine[i:]) for i in range(len(mine))])
     assert distinctive.distinctive(df.limit(0)).count() == 0
 
 
+def test_candidates_lose_none(spark):
+    rng = random.Random(8)
+    rows = [(d, f"t{int(60 * rng.random() ** 3)}", rng.choice([1, 1, 2, 9])) for d in range(60) for _ in range(25)]
+    rows = list({(d, t): c for d, t, c in rows}.items())
+    df = spark.createDataFrame([(d, t, c) for (d, t), c in rows], "record long, term string, c long")
+    got = distinctive.distinctive(df).cache()
+    for least in (0.2, 0.3, 0.5):
+        kept = distinctive.candidates(got, least)
+        heavy = lambda x: sorted(map(tuple, x.filter(F.col("weight") >= least).select("record", "term").collect()))
+        assert heavy(kept) == heavy(got) != [] and kept.count() < got.count()
+
+
+def test_candidates_rest_on_the_model(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 2), (1, "b", 3), (2, "a", 9)], "record long, term string, c long")
+    by = {r.term: r for r in distinctive.distinctive(df).filter("record = 1").collect()}
+    assert by["b"].rank == 1 and by["b"].p > 0.9 > by["a"].p  # what the collection is full of explains nothing
+
+
 # 3
 
 
