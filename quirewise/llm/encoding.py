@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.session import stage
+from quirewise.session import join_lookup, stage
 from quirewise.sources.corpus import table
 
 HOT_WORDS, HOT_BYTES = 400_000, 64
@@ -74,6 +74,9 @@ def split_hot(words: DataFrame, hot_words: int = HOT_WORDS) -> tuple[pa.Table, D
     return hot, words.filter(~is_hot).select("word", "ids") if n > hot.num_rows else None
 
 
+OUT = ["key", "pos", "got", "word", "whole"]
+
+
 def _look_up(hot_of, lengths_only: bool):
     """Batches of key, words -> key, pos, ids (or n_tokens), word, whole."""
 
@@ -101,34 +104,24 @@ def _look_up(hot_of, lengths_only: bool):
                 ids = None
             else:
                 # Position by position: id j of word i stands at offsets[idx[i]] + j.
-                take = np.repeat(offsets[idx] - ends[:-1], n) + np.arange(ends[-1]) if len(flat) else np.zeros(0, np.int64)
+                take = np.repeat(offsets[idx] - ends[:-1], n) + np.arange(ends[-1]) if len(flat) and len(sizes) else np.zeros(0, np.int64)
                 ids = flat_ids[take]
-            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-
-            def add(k, pos, lo, hi, word, whole):
-                for col, v in zip(rows, (k, pos, int(ends[hi] - ends[lo]) if lengths_only else ids[ends[lo] : ends[hi]], word, whole)):  # noqa: B023
-                    col.append(v)
-
-            value = pa.int64() if lengths_only else pa.list_(pa.int32())
-            done = np.flatnonzero(~part)
-            if len(done) == len(part):
-                got = pa.array(np.diff(ends[at])) if lengths_only else pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.zeros(len(part), np.int32)), got, pa.nulls(len(part), pa.string()), pa.array(np.ones(len(part), bool))], names=["key", "pos", "got", "word", "whole"])
-                continue
-            keys = key.to_pylist()
-            for i in range(len(part)):
-                if not part[i]:
-                    add(keys[i], 0, at[i], at[i + 1], None, True)
-                    continue
-                lo = at[i]
-                for j in np.flatnonzero(miss[at[i] : at[i + 1]]) + at[i]:
-                    if j > lo:
-                        add(keys[i], int(lo - at[i]), lo, j, None, False)
-                    add(keys[i], int(j - at[i]), j, j, flat[int(j)].as_py(), False)
-                    lo = j + 1
-                if at[i + 1] > lo:
-                    add(keys[i], int(lo - at[i]), lo, at[i + 1], None, False)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], key.type), pa.array(rows[1], pa.int32()), pa.array(rows[2], value), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.bool_())], names=["key", "pos", "got", "word", "whole"])
+            of = np.repeat(np.arange(len(part)), np.diff(at))
+            # A stretch is a rare piece, or what lies between two of them in one text; all stretches at once.
+            opens = miss.copy()
+            opens[1:] |= miss[:-1]
+            opens[at[:-1][np.diff(at) > 0]] = True
+            lo = np.flatnonzero(opens)
+            bounds = np.append(ends[lo], ends[-1])
+            row = of[lo]
+            got = pa.array(np.diff(bounds)) if lengths_only else pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            word = flat.take(pa.array(lo)) if len(lo) else pa.nulls(0, pa.string())
+            word = pc.if_else(pa.array(miss[lo]), word, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(row)), pa.array((lo - at[row]).astype(np.int32)), got, word, pa.array(~part[row])], names=OUT)
+            bare = np.flatnonzero(np.diff(at) == 0)  # texts without a piece
+            if len(bare):
+                none = pa.array(np.zeros(len(bare), np.int64)) if lengths_only else pa.array([[]] * len(bare), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(bare)), pa.array(np.zeros(len(bare), np.int32)), none, pa.nulls(len(bare), pa.string()), pa.array(np.ones(len(bare), bool))], names=OUT)
 
     return run
 
@@ -150,7 +143,8 @@ def _joined(docs: DataFrame, ranks: dict[bytes, int], lengths_only: bool, hot_wo
     whole = found.filter("whole").select("key", "got")
     runs = found.filter("NOT whole AND word IS NULL").select("key", "pos", "got")
     rare_ids = rare.select("word", (F.size("ids").cast("long") if lengths_only else F.col("ids")).alias("got"))
-    fetched = found.filter("NOT whole AND word IS NOT NULL").select("key", "pos", "word").join(rare_ids, "word").select("key", "pos", "got")
+    # A rare piece occurs less than total / hot_words times, or is long: the long ones may be frequent, so they are spread.
+    fetched = join_lookup(found.filter("NOT whole AND word IS NOT NULL").select("key", "pos", "word"), rare_ids, "word", few=False).select("key", "pos", "got")
     both = runs.unionByName(fetched).groupBy("key")
     if lengths_only:
         put = both.agg(F.sum("got").alias("got"))
