@@ -123,14 +123,15 @@ def fits(df: DataFrame, rows: int = FEW_ROWS, most: int = FEW_BYTES) -> bool:
     return n <= rows and (size or 0) <= most
 
 
-def join_lookup(big: DataFrame, small: DataFrame, on: str, how: str = "inner", few: bool | None = None, salts: int = 16) -> DataFrame:
+def join_lookup(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", few: bool | None = None, salts: int = 16) -> DataFrame:
     """big joined by a key with a table of few rows for each key. A table that fits (few: whether it does, where that is
     known) is broadcast; of another each row is repeated for all salts, and big's rows of one key, which may be a third
     of all, spread over them."""
     if fits(small) if few is None else few:
         return big.join(F.broadcast(small), on, how)
+    on = [on] if isinstance(on, str) else on
     plain = [c for c, t in big.dtypes if not t.startswith(("array", "map", "struct"))]
     wide = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # A null key meets nothing, so its rows may spread further.
-    salt = F.pmod(F.xxhash64(*plain), F.when(F.col(on).isNull(), salts * 256).otherwise(salts)).cast("int")
-    return big.withColumn("__salt", salt).join(wide, [on, "__salt"], how).drop("__salt")
+    salt = F.pmod(F.xxhash64(*plain), F.when(F.col(on[0]).isNull(), salts * 256).otherwise(salts)).cast("int")
+    return big.withColumn("__salt", salt).join(wide, [*on, "__salt"], how).drop("__salt")
