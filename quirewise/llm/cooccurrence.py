@@ -7,11 +7,11 @@ Bernoulli variables; its upper tail (Poisson-binomial, by saddle point) is the s
 are controlled over all pairs of items (Benjamini-Hochberg).
 
 Scale. Every pair that shares a basket is counted and scored, as the step-up rule ranks them all.
-Equal baskets are counted once, with their number. Baskets of more than BLOCK items are cut, so that a row holds two
-blocks of a basket, and rows are spread anew. Pairs are combined in the task that makes them. The model knows items and
-baskets only by their degree: the tables that reach the driver have a row for each distinct degree, at most
-sqrt(2 * incidences), degrees beyond EXACT falling into classes 1/1024 wide. Pairs of like degrees and number have one
-tail, worked out once and joined back.
+Equal baskets are counted once, with their number. Baskets of more than BLOCK items are cut: a row holds one block of a
+basket and the items after it, and rows are spread anew. Pairs are combined in the task that makes them. The model knows
+items and baskets only by their degree: the tables that reach the driver have a row for each distinct degree up to EXACT,
+beyond it one for each class 1/EXACT wide, that is EXACT for each e-fold, 4,300 for degrees up to 10^9; the fit goes through
+the classes' matrix in strips. Pairs of like degrees and number have one tail, worked out once and joined back.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.session import stage, stage_bucketed
+from quirewise.session import fits, join_lookup, stage, stage_bucketed
 from quirewise.sources.corpus import run_tokens
 
-BLOCK, EXACT, BROADCAST_ITEMS, FLUSH = 512, 1024, 400_000, 4_000_000
+BLOCK, EXACT, STRIP, FLUSH = 512, 256, 512, 4_000_000
 LEAST, LIFT, FALSE_SHARE = 6, 20, 0.01
 
 
@@ -41,9 +41,13 @@ def fit_null(d: np.ndarray, m: np.ndarray, f: np.ndarray, n: np.ndarray, rounds:
     """x of the basket classes (degree d, m of them), y of the item classes (degree f, n of them)."""
     total = (d * m).sum()
     x, y = d / math.sqrt(total), f / math.sqrt(total)
+
+    def sums(of: np.ndarray, weight: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.concatenate([(weight * by / (1 + of[at : at + STRIP, None] * by)).sum(1) for at in range(0, len(of), STRIP)])
+
     for _ in range(rounds):
-        new = d / np.maximum((n * y / (1 + x[:, None] * y)).sum(1), 1e-300)
-        y = f / np.maximum((m * new / (1 + y[:, None] * new)).sum(1), 1e-300)
+        new = d / np.maximum(sums(x, n, y), 1e-300)
+        y = f / np.maximum(sums(y, m, new), 1e-300)
         # an item in all baskets, or a basket of all items, has no finite solution
         new, y = np.minimum(new, 1e12), np.minimum(y, 1e12)
         moved = np.max(np.abs(new - x) / np.maximum(x, 1e-300))
@@ -101,21 +105,24 @@ def tail_log10(n: np.ndarray, p: np.ndarray, m: np.ndarray, rounds: int = 60) ->
     return out
 
 
-def _pairs_of(left: pa.Array, right: pa.Array, same: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs of the rows' two blocks, rows of like size at once."""
-    lo, ro = left.offsets.to_numpy().astype(np.int64), right.offsets.to_numpy().astype(np.int64)
-    lv, rv = left.values.to_numpy(), right.values.to_numpy()
+def _pairs_of(left: pa.Array, rest: pa.Array, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs within the rows' blocks, and of each block with what comes after it in the basket, rows of like size at once."""
+    lo, ro = left.offsets.to_numpy().astype(np.int64), rest.offsets.to_numpy().astype(np.int64)
+    lv, rv = left.values.to_numpy(), rest.values.to_numpy()
     ln, rn = np.diff(lo), np.diff(ro)
-    shape = np.stack([ln, rn, same], 1)
-    for a, b, s in np.unique(shape, axis=0):
-        i, j = np.triu_indices(a, 1) if s else (x.ravel() for x in np.indices((a, b)))
-        if not len(i):
-            continue
-        rows = np.flatnonzero((shape == (a, b, s)).all(1))
-        per = max(1, FLUSH // len(i))
-        for at in range(0, len(rows), per):
+    for a in np.unique(ln):
+        i, j = np.triu_indices(a, 1)
+        rows = np.flatnonzero(ln == a)
+        per = max(1, FLUSH // max(len(i), 1))
+        for at in range(0, len(rows), per) if len(i) else ():
             r = rows[at : at + per]
-            yield lv[lo[r][:, None] + i].ravel(), rv[ro[r][:, None] + j].ravel(), np.repeat(times[r], len(i))
+            yield lv[lo[r][:, None] + i].ravel(), lv[lo[r][:, None] + j].ravel(), np.repeat(times[r], len(i))
+    for r in np.flatnonzero(rn > 0):  # baskets of more than one block
+        mine = lv[lo[r] : lo[r + 1]]
+        per = max(1, FLUSH // len(mine))
+        for at in range(int(ro[r]), int(ro[r + 1]), per):
+            far = rv[at : min(at + per, int(ro[r + 1]))]
+            yield np.repeat(mine, len(far)), np.tile(far, len(mine)), np.full(len(mine) * len(far), times[r])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        same = batch.column("same").to_numpy(zero_copy_only=False).astype(np.int64)
-        for part in _pairs_of(batch.column("left"), batch.column("right"), same, batch.column("times").to_numpy()):
+        for part in _pairs_of(batch.column("left"), batch.column("rest"), batch.column("times").to_numpy()):
             held.append(part)
             size += len(part[0])
             if size >= FLUSH:
@@ -183,17 +189,14 @@ def together(incidence: DataFrame, least: int = 1, lift: float = 0, false_share:
     baskets, kinds = int(of_size.m.sum()), int(of_freq.m.sum())
     d, m, f, freq = (c.to_numpy(float) for c in (of_size.d, of_size.m, of_freq.d, of_freq.m))
     x, y = fit_null(d, m, f, freq) if baskets else (d, f)
-    few = F.broadcast if kinds <= BROADCAST_ITEMS else (lambda t: t)
-    held = inc.join(few(items), "item").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    few = fits(items)
+    held = join_lookup(inc, items.select("item", "id"), "item", few=few).groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
     held = held.groupBy("ids").agg(F.count(F.lit(1)).alias("times"))
-    n_blocks = F.ceil(F.size("ids") / F.lit(block)).cast("int")
-    cut = held.select("ids", "times", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"), n_blocks.alias("nb"))
-    cut = cut.select("ids", "times", "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
-    at = lambda c: F.slice("ids", F.col(c) * block + 1, F.lit(block))
-    rows = cut.select(at("i").alias("left"), at("j").alias("right"), "times", (F.col("i") == F.col("j")).alias("same"))
-    counted = rows.repartition(F.xxhash64("left", "right")).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    degree = lambda s: few(items.select(F.col("id").alias(s), F.col("df").alias(f"df_{s}")))
-    known = stage(counted.join(degree("a"), "a").join(degree("b"), "b"), "pairs")
+    cut = held.select("ids", "times", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ids") / F.lit(block)).cast("int") - 1)).alias("i"))
+    rows = cut.select(F.slice("ids", F.col("i") * block + 1, F.lit(block)).alias("left"), F.slice("ids", (F.col("i") + 1) * block + 1, F.size("ids")).alias("rest"), "times")
+    counted = rows.repartition(F.xxhash64("left", "rest")).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    with_item = lambda t, s, *cols: join_lookup(t, items.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in cols)), s, few=few)
+    known = stage(with_item(with_item(counted, "a", "df"), "b", "df"), "pairs")
     classes = [degree_class(F.col(c)) for c in ("df_a", "df_b")]
     known = known.withColumns({"low": F.least(*classes), "high": F.greatest(*classes)})
     tails = known.groupBy("low", "high", "n").agg(F.count(F.lit(1)).alias("pairs"))
@@ -201,10 +204,10 @@ def together(incidence: DataFrame, least: int = 1, lift: float = 0, false_share:
     bins = scored.groupBy(F.ceil(F.col("log10_p") * 1000).alias("bin")).agg(F.sum("pairs").alias("pairs")).toPandas()  # a bin each thousandth of a decade
     limit = discovery_limit(bins["bin"].to_numpy(float) / 1000, bins["pairs"].to_numpy(), kinds * (kinds - 1) / 2, false_share)
     known = known.filter((F.col("n") >= least) & (F.col("n") * baskets >= F.lit(lift) * F.col("df_a") * F.col("df_b")))
-    name = lambda s: few(items.select(F.col("id").alias(s), F.col("item").alias(f"item_{s}")))
     swap = F.col("item_a") > F.col("item_b")
     pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-    return known.join(scored.drop("pairs"), ["low", "high", "n"]).join(name("a"), "a").join(name("b"), "b").select(
+    known = join_lookup(known, scored.drop("pairs"), ["low", "high", "n"])  # most pairs may be of one class
+    return with_item(with_item(known, "a", "item"), "b", "item").select(
         pick("item_a", "item_b").alias("item_a"),
         pick("item_b", "item_a").alias("item_b"),
         "n",
