@@ -345,6 +345,17 @@ def test_budget_is_best():
         assert (took >= 0).all() and (took <= have).all() and int((took * sizes).sum()) == best
 
 
+def test_budget_of_few_long_documents():
+    sizes, have = np.array([9000, 9700, 17001]), np.array([40, 40, 40])
+    best = max(s for a in range(41) for b in range(41) for c in range(41) if (s := 9000 * a + 9700 * b + 17001 * c) <= 700_001)
+    took = mixing.fit_budget(sizes, have, 700_001)
+    assert (took <= have).all() and int((took * sizes).sum()) == best
+    even = mixing.fit_budget(np.array([300, 200]), np.array([5, 5]), 1550)  # nothing but hundreds
+    assert int((even * np.array([300, 200])).sum()) == 1500
+    narrow = mixing.fit_budget(sizes, have, 700_001, window=40_000)
+    assert (narrow <= have).all() and 700_001 - 9000 < (narrow * sizes).sum() <= 700_001
+
+
 def test_large_budget():
     sizes = np.arange(1, 3000)
     have = np.random.default_rng(0).integers(1, 9, len(sizes))
@@ -367,7 +378,7 @@ def test_mixture(spark):
     shares = {r.source: r for r in mixing.mixture_shares(plan).collect()}
     for s, share, most in [("big", 0.5, 1), ("mid", 0.4, 3), ("low", 0.08, 2), ("gone", 0.02, 5)]:
         assert shares[s].short == (share * total > most * size[s])
-        assert shares[s].used == min(most * size[s], int(share * total))
+        assert shares[s].used == min(most * size[s], int(share * total)) == shares[s].budget and shares[s].gap == 0
     picks = mixing.pick_documents(lengths, plan, slices=4).collect()
     used, cap = Counter(), {"big": 1, "mid": 3, "low": 2}
     for r in picks:
