@@ -413,6 +413,31 @@ def test_subjects(spark):
     assert not any(got[1000 + i] for i in range(4))
 
 
+def test_labels_stay_and_all_mass_counts():
+    bins = pa.array([[1, 2, -1, 3], [4, -1, 5, 5], [1, 6]], pa.list_(pa.int32()))
+    s = subjects.Sentences(bins)
+    known, labels = np.array([10, 30]), np.array([[0.0, 1, 0], [0, 0, 0]])
+    w = np.random.default_rng(0).normal(size=(8, 3)).astype(np.float32)
+    r = s.taught(np.array([10, 20, 30]), w, known, labels)
+    assert (r[s.row == 0] == [0, 1, 0]).all() and (r[s.row == 2] == 0).all()
+    assert r[s.row == 1] == pytest.approx(s.posteriors(w)[s.row == 1]) and r[s.row == 1].sum(1) == pytest.approx(1)
+    first = s.taught(np.array([10, 20, 30]), None, known, labels)
+    assert (first[s.row == 0] == [0, 1, 0]).all() and not first[s.row > 0].any()
+
+
+def test_shares_leave_a_document_out():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 12, 9).tolist() + [-1] + rng.integers(0, 12, 5).tolist() for _ in range(6)]
+    s = subjects.Sentences(pa.array(docs, pa.list_(pa.int32())))
+    r = rng.dirichlet(np.ones(3), len(s.starts))
+    of = lambda rows: np.stack([np.bincount(s.bins[rows[s.of]], weights=c[s.of][rows[s.of]], minlength=16) for c in r.T], 1)
+    every = np.ones(len(s.starts), bool)
+    got = subjects.without_own(s, r, of(every), of(every).sum(0))
+    for d in range(6):
+        want = s.posteriors(subjects.complement_weights(of(s.row != d)))
+        assert got[s.row == d] == pytest.approx(want[s.row == d], rel=1e-3)
+
+
 def test_subjects_without_labels(spark):
     d = spark.createDataFrame([(1, "A text. Another."), (2, "")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, subject string")
