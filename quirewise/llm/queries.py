@@ -51,6 +51,13 @@ ORACLE: dict[str, str] = {
         w="SELECT doc_id, surface, c, (1 + ln(c)) * (ln(((SELECT count(DISTINCT doc_id) FROM c) + 1) / (df + 1)) + 1) AS w FROM c JOIN (SELECT surface, count(*) AS df FROM c GROUP BY 1) USING (surface)",
         n="SELECT doc_id, surface, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight, sum(c) OVER (PARTITION BY doc_id) AS tokens FROM w",
     ),
+    "p3_found": sql(
+        "SELECT DISTINCT least(a, b) AS doc_a, greatest(a, b) AS doc_b FROM n WHERE r <= 5",
+        m="SELECT doc_id, topic, sum(coalesce(weight, 0)::DOUBLE) AS w, max(weight) AS most FROM (SELECT DISTINCT * FROM topic_mix) JOIN (SELECT DISTINCT doc_id FROM topic_docs) USING (doc_id) GROUP BY 1, 2",
+        v=f"SELECT doc_id, [{', '.join(f'coalesce(sum(w) FILTER (topic = {t}), 0)' for t in range(neighbours.TOPICS))}] AS v FROM m GROUP BY 1 HAVING max(most) > 0",
+        u="SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM v",
+        n="SELECT x.doc_id AS a, y.doc_id AS b, row_number() OVER (PARTITION BY x.doc_id ORDER BY round(list_inner_product(x.u, y.u), 9) DESC, y.doc_id) AS r FROM u x JOIN u y ON x.doc_id <> y.doc_id",
+    ),
     "p4_found": sql(
         "SELECT x.surface AS surface_a, y.surface AS surface_b FROM i x JOIN i y ON x.unit_id = y.unit_id AND x.surface < y.surface GROUP BY x.surface, y.surface HAVING count(*) >= 6 AND count(*) * (SELECT count(DISTINCT unit_id) FROM us) >= 20 * any_value(x.df) * any_value(y.df)",
         "tk",

@@ -165,6 +165,17 @@ def test_nearest(spark):
     assert whole == want
 
 
+def test_shards_are_even():
+    rng = np.random.default_rng(4)
+    c1, c2 = rng.random((16, 3)), rng.random((16, 3))
+    pop = rng.integers(0, 200, (16, 16)).astype(np.int32)
+    for block in (10**6, 3000, 400):
+        shard, salts = neighbours.shards_of(pop, c1, c2, block)
+        per = np.bincount(shard.ravel(), weights=pop.ravel(), minlength=len(salts))
+        assert (per <= salts * block).all() and -(-pop.sum() // block) <= len(salts) <= 2 * -(-pop.sum() // block)
+    assert len(np.unique(shard[0])) > 1  # more shards than first centroids: the second ones tell too
+
+
 def test_nearest_of_few(spark):
     one = spark.createDataFrame([(1, [1.0, None, float("nan")])], "id long, vec array<double>")
     assert [list(r.near) for r in neighbours.nearest(one).collect()] == [[]]
@@ -174,7 +185,7 @@ def test_nearest_of_few(spark):
 def test_traverse_is_in_order():
     rng = np.random.default_rng(1)
     d1, d2 = rng.random(7), rng.random(9)
-    out = neighbours.traverse(d1, d2, [[1] * 9] * 7, 10**6)
+    out = neighbours.traverse(d1, d2, np.ones((7, 9), int), 10**6)
     sums = [d1[i] + d2[j] for i, j in out]
     assert len(set(out)) == 63 and sums == sorted(sums)
 
