@@ -18,6 +18,7 @@ QUERIES = {
     "p5_found": spans.p5_found,
     "p5_spans": spans.p5_spans,
     "p5_coverage": spans.p5_coverage,
+    "p5_sets": spans.p5_sets,
     "p6_ids": encoding.p6_ids,
     "p6_decoded": encoding.p6_decoded,
     "p7_found": mixing.p7_found,
@@ -34,6 +35,12 @@ _TERMS = {
     WHEN count(DISTINCT unit_id) > 0.2 * (SELECT count(DISTINCT unit_id) FROM tk) THEN 'common' END AS mark FROM terms GROUP BY 1, 2""",
 }
 
+#: Windows of 120 characters that stand in several editions, by their starts.
+_SPANS = {
+    "win": "SELECT edition_id, i, substr(text, i, 120) AS s FROM (SELECT edition_id, text, unnest(range(1, length(text) - 118)) AS i FROM ed WHERE length(text) >= 120)",
+    "sh": "SELECT edition_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY 1 HAVING count(DISTINCT edition_id) > 1)",
+}
+
 ORACLE: dict[str, str] = {
     "p1_found": sql("SELECT term_kind, term, mark FROM voc WHERE mark IS NOT NULL", "tl", **_TERMS),
     "p1_vocabulary": sql("SELECT * FROM voc", "tl", **_TERMS),
@@ -64,5 +71,16 @@ ORACLE: dict[str, str] = {
         us="SELECT DISTINCT unit_id, surface FROM tk",
         i="SELECT unit_id, surface, count(*) OVER (PARTITION BY surface) AS df FROM us",
     ),
+    "p5_found": sql("SELECT DISTINCT a.edition_id AS edition_a, b.edition_id AS edition_b FROM (SELECT DISTINCT edition_id, s FROM win) a JOIN (SELECT DISTINCT edition_id, s FROM win) b ON a.s = b.s AND a.edition_id < b.edition_id", "ed", win=_SPANS["win"]),
+    "p5_spans": sql(
+        'SELECT edition_id, (min(i) - 1)::INT AS start, (max(i) + 119)::INT AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY edition_id ORDER BY i) AS k FROM (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY edition_id ORDER BY i) > 120, true)::INT AS new FROM sh)) GROUP BY edition_id, k',
+        "ed",
+        **_SPANS,
+    ),
+    "p5_coverage": sql(
+        "SELECT edition_id, length(text) AS chars, coalesce(c, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0.0 END AS share FROM ed LEFT JOIN (SELECT edition_id, sum(least(120, coalesce(next - i, 120))) AS c FROM (SELECT *, lead(i) OVER (PARTITION BY edition_id ORDER BY i) AS next FROM sh) GROUP BY 1) USING (edition_id) WHERE text IS NOT NULL",
+        "ed",
+        **_SPANS,
+    ),
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -289,14 +289,44 @@ def test_spans(spark, seed):
         texts[b] = texts[b][:cut] + texts[a][at : at + n] + texts[b][cut:]
     texts |= {100: "ab" * 400, 101: "x" + "ab" * 90, 102: "a" * 500, 103: "b" + "a" * 119, 104: "c" + "a" * 130, 105: "", 106: texts[3], 107: "y" * 119}
     df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()] + [(None, "z", 0), (200, None, 0)], "id long, text string, start int")
-    got = spans.SharedSpans(df)
     pairs, cover = plain_spans(texts, 120)
-    assert sorted(map(tuple, got.pairs().collect())) == sorted(pairs)
-    assert {(r.id, r.start, r.end) for r in got.spans().collect()} == cover
+    # Whole texts; texts cut into pieces, with every label frequent and pairs in small blocks.
+    for how, side in (({}, 512), ({"piece": 150, "hot": 0.0}, 2)):
+        got = spans.SharedSpans(df, **how)
+        assert sorted(map(tuple, got.pairs(side).collect())) == sorted(pairs)
+        assert {(r.id, r.start, r.end) for r in got.spans().collect()} == cover
     c = {r.id: r for r in got.coverage().collect()}
     assert c[105].share == 0 and len(c) == len(texts) and c[102].share == 1
 
 
+def test_pieces_have_the_edges_of_the_whole():
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcde é", k=3000)) + "ab" * 300
+    start, end, label = spans.edges(text, 120)
+    around, size = spans.margin(120, spans.K, spans.W), 400
+    rows = [(7, max(0, lo - around), lo, min(lo + size, len(text)), text[max(0, lo - around) : min(lo + size, len(text)) + around]) for lo in range(0, len(text), size)]
+    b = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "at", "lo", "hi", "part"])
+    out = [r for x in spans._edges(120, spans.K, spans.W)(iter([b])) for r in x.to_pylist()]
+    assert [(r["start"], r["end"], r["label"]) for r in out] == list(zip(start.tolist(), end.tolist(), label.tolist()))
+    assert [r["before"] for r in out] == [None, *start[:-1].tolist()] and [r["prev"] for r in out] == [None, *label[:-1].tolist()] and [r["next"] for r in out] == [*label[1:].tolist(), None]
+
+
+def test_sets_of_texts(spark):
+    licence = "".join(random.Random(1).choices("abcdefgh ", k=300))
+    df = spark.createDataFrame([(i, f"{i} " * 30 + licence) for i in range(40)] + [(90, "x" * 50)], "id long, text string")
+    s = spark.createDataFrame(spans.SharedSpans(df).sets().collect())
+    # One set of all that hold the licence; one for each digit that stands before it.
+    assert s.count() == 80 and s.filter("n = 40").groupBy("h1", "h2").count().collect()[0][2] == 40 and s.filter("n = 4").select("h1").distinct().count() == 10
+
+
+def test_unlike_windows_of_one_digest(spark, monkeypatch):
+    a, b = ("".join(random.Random(s).choices("abcdefgh ", k=200)) for s in (1, 2))
+    rows = [(1, a), (2, a), (3, b), (4, b), (5, a + b)]
+    monkeypatch.setattr(spans, "digest_of", lambda chars: b"\0" * 16)
+    got = spans.SharedSpans(spark.createDataFrame(rows, "id long, text string")).pairs()
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 5), (2, 5), (3, 4), (3, 5), (4, 5)]
+
+
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert spans.SharedSpans(df).pairs().count() == 0
