@@ -237,15 +237,22 @@ def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: list[str],
         marks[r, [number[x] for x in s]] = 1
     labels_of = sc.broadcast((known, marks))
     bins = word_bins(docs, bits)
-    before = model = None
-    for _ in range(rounds + 1):
+    model = None
+    for i in range(rounds + 1):
         step = bins.mapInArrow(_counts(model, labels_of, bits), "bin int, n array<double>")
         added = step.groupBy("bin").agg(F.array(*(F.sum(F.col("n")[c]) for c in range(len(subjects)))).alias("n")).toArrow()  # at most 2^bits rows
         counts = np.zeros((1 << bits, len(subjects)), np.float32)
         if added.num_rows:
             counts[added["bin"].to_numpy()] = added["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(subjects))
-        before, model = model, sc.broadcast(complement_weights(counts.astype(float)))
-    shares = stage(bins.mapInArrow(_shares(before, sc.broadcast(counts), labels_of, sure), "doc_id long, words long, share array<double>"), "shares")
+        if i < rounds:  # a model is of no use after its round; the shares need the last one and the counts it led to
+            last, model = model, sc.broadcast(complement_weights(counts.astype(float)))
+            if last is not None:
+                last.destroy()
+    counts_of = sc.broadcast(counts)
+    shares = stage(bins.mapInArrow(_shares(model, counts_of, labels_of, sure), "doc_id long, words long, share array<double>"), "shares")
+    for sent in (model, counts_of, labels_of):
+        if sent is not None:
+            sent.destroy()
     mine = shares.join(F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(known, pa.int64())}))), "doc_id").select("doc_id", "share").toArrow()
     hit, y = _labels_of(mine["doc_id"].to_numpy(), known, marks)
     x = mine["share"].combine_chunks().flatten().to_numpy().reshape(-1, len(subjects)) if mine.num_rows else np.zeros((0, len(subjects)))
