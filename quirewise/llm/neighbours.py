@@ -260,7 +260,7 @@ def nearest(vectors: DataFrame, k: int = NEAREST, reach: int = REACH, sample: in
     top = got.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near"))).filter(F.col("r") <= k + 1)
     wide = top.join(rep.select(F.col("id").alias("near"), "ids"), "near").select("id", "sim", F.explode("ids").alias("doc"))
     lists = wide.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), F.col("doc").alias("id")))).alias("l"))
-    lists = rep.select("id", "h").join(lists, "id").select("h", "l")
+    lists = stage(rep.select("id", "h").join(lists, "id").select("h", "l"), "lists")  # read for frequent vectors and for the others
     # A third of all rows may have one vector: those of many rows are few, so their lists are broadcast.
     total = units.count()
     often = units.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > max(1, int(total * HOT))).select("h")
