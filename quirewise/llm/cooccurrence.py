@@ -232,3 +232,8 @@ def p4_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = p4_together(spark, sf_dir)
     return t.filter((F.col("n") >= LEAST) & (F.col("n") * F.col("baskets") >= LIFT * F.col("a") * F.col("b"))).select("surface_a", "surface_b")
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """surface_a, surface_b, n, a, b of every two surfaces of one unit."""
+    return p4_together(spark, sf_dir).select("surface_a", "surface_b", "n", "a", "b")

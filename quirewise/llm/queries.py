@@ -15,6 +15,7 @@ QUERIES = {
     "p3_nearest": neighbours.p3_nearest,
     "p4_found": cooccurrence.p4_found,
     "p4_together": cooccurrence.p4_together,
+    "p4_counts": cooccurrence.p4_counts,
     "p5_found": spans.p5_found,
     "p5_spans": spans.p5_spans,
     "p5_coverage": spans.p5_coverage,
@@ -71,6 +72,12 @@ ORACLE: dict[str, str] = {
         us="SELECT DISTINCT unit_id, surface FROM tk",
         i="SELECT unit_id, surface, count(*) OVER (PARTITION BY surface) AS df FROM us",
     ),
+    "p4_counts": sql(
+        "SELECT x.surface AS surface_a, y.surface AS surface_b, count(*) AS n, any_value(x.df) AS a, any_value(y.df) AS b FROM i x JOIN i y ON x.unit_id = y.unit_id AND x.surface < y.surface GROUP BY 1, 2",
+        "tk",
+        us="SELECT DISTINCT unit_id, surface FROM tk",
+        i="SELECT unit_id, surface, count(*) OVER (PARTITION BY surface) AS df FROM us",
+    ),
     "p5_found": sql("SELECT DISTINCT a.edition_id AS edition_a, b.edition_id AS edition_b FROM (SELECT DISTINCT edition_id, s FROM win) a JOIN (SELECT DISTINCT edition_id, s FROM win) b ON a.s = b.s AND a.edition_id < b.edition_id", "ed", win=_SPANS["win"]),
     "p5_spans": sql(
         'SELECT edition_id, (min(i) - 1)::INT AS start, (max(i) + 119)::INT AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY edition_id ORDER BY i) AS k FROM (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY edition_id ORDER BY i) > 120, true)::INT AS new FROM sh)) GROUP BY edition_id, k',
