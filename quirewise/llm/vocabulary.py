@@ -94,18 +94,29 @@ def ngram_counts(terms: DataFrame, record: str, pos: list[str], term: str, kind:
     no rows.
     """
     t = terms.select(F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), F.col(record).cast("long").alias("record"), F.col(term).alias("term_1"), *(F.col(p).alias(f"__p{i}") for i, p in enumerate(pos))).filter("term_1 IS NOT NULL AND record IS NOT NULL")
+    if sigma > 1:
+        w = Window.partitionBy("record", "kind").orderBy(*(f"__p{i}" for i in range(len(pos))), "term_1")
+        t = t.withColumns({f"term_{k + 1}": F.lead("term_1", k).over(w) for k in range(1, sigma)})
+    return count_suffixes(t, sigma)
+
+
+def count_suffixes(suffixes: DataFrame, sigma: int) -> DataFrame:
+    """ngram_counts() of the suffixes themselves: record, kind, term_1 .. term_sigma, null after a record's last term."""
     names = [f"term_{k + 1}" for k in range(sigma)]
     # Where the rows are partitioned by the record already, nothing up to the combination needs an exchange.
     if sigma == 1:
-        rows = t.groupBy("record", "kind", "term_1").agg(F.count(F.lit(1)).alias("n")).withColumn("first_1", F.lit(1))
+        rows = suffixes.groupBy("record", "kind", "term_1").agg(F.count(F.lit(1)).alias("n")).withColumn("first_1", F.lit(1))
     else:
-        w = Window.partitionBy("record", "kind").orderBy(*(f"__p{i}" for i in range(len(pos))), "term_1")
-        t = t.select("record", "kind", *(F.lead("term_1", k).over(w).alias(x) for k, x in enumerate(names)))
-        by = Window.partitionBy("record", "kind").orderBy(*names)
-        new = [~F.lag(x).over(by).eqNullSafe(F.col(x)) for x in names]
-        for k in range(1, sigma):
-            new[k] = new[k] | new[k - 1]
-        rows = t.select("kind", *names, F.lit(1).alias("n"), *(x.cast("int").alias(f"first_{k + 1}") for k, x in enumerate(new)))
+        # Equal prefixes of a record shall stand together, in whatever order: their hashes compare faster than their terms.
+        prefix = {f"__h{k}": F.xxhash64("kind", *names[:k]) for k in range(1, sigma + 1)}
+        t = suffixes.select("record", "kind", *names).withColumns(prefix)
+        by = Window.partitionBy("record").orderBy("__h1", "kind", *(x for k in range(1, sigma + 1) for x in ([] if k == 1 else [f"__h{k}"]) + [names[k - 1]]))
+        same = F.lag("kind").over(by).eqNullSafe(F.col("kind"))
+        first = []
+        for k, x in enumerate(names):
+            same = same & F.lag(x).over(by).eqNullSafe(F.col(x))
+            first.append((~same).cast("int").alias(f"first_{k + 1}"))
+        rows = t.select("kind", *names, F.lit(1).alias("n"), *first)
     sums = [F.sum(c).alias(c) for c in ("n", *(f"first_{k + 1}" for k in range(sigma)))]
     routed = rows.groupBy("kind", *names).agg(*sums)
     ordered = routed.sortWithinPartitions("kind", *(F.col(x).desc_nulls_last() for x in names))
@@ -124,20 +135,16 @@ def marked(counts: DataFrame, total, rare: int = RARE_UNITS, common: float = COM
     return counts.withColumn("mark", F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common) * total, "common"))
 
 
-def token_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unit_id, pos, word, term_kind, term: folded surfaces and lemmas of the counted tokens."""
-    t = with_lemmas(run_tokens(spark, sf_dir).select("unit_id", "pos", "surface", "reading_idx"), table(spark, sf_dir, "readings"))
-    one = lambda kind, c: F.struct(F.lit(kind).alias("term_kind"), c.alias("term"))
-    terms = F.concat(F.array(one("surface", F.col("surface"))), F.transform("lemmas", lambda x: one("lemma", x)))
-    return t.select("unit_id", "pos", F.posexplode(terms).alias("word", "x")).select("unit_id", "pos", "word", "x.term_kind", "x.term")
-
-
-#: Terms of the longest runs that the queries count; single terms come out of the same pass.
-SIGMA = 2
-
-
 def token_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_counts(token_terms(spark, sf_dir), "unit_id", ["pos", "word"], "term", "term_kind", SIGMA)
+    """count_suffixes() of the folded surfaces and the lemmas of the counted tokens, two terms long: what follows is taken
+    from the next token of the unit before the lemmas are set apart."""
+    t = with_lemmas(run_tokens(spark, sf_dir).select("unit_id", "pos", "surface", "reading_idx"), table(spark, sf_dir, "readings"))
+    w = Window.partitionBy("unit_id").orderBy("pos", "surface")
+    t = t.withColumns({"after": F.lead("surface").over(w), "lemma_after": F.lead(F.col("lemmas")[0]).over(w)})
+    one = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("term_1"), b.alias("term_2"))
+    lemmas = F.transform("lemmas", lambda x, i: one("lemma", x, F.coalesce(F.get("lemmas", i + 1), F.col("lemma_after"))))
+    suffixes = F.explode(F.concat(F.array(one("surface", F.col("surface"), F.col("after"))), lemmas))
+    return count_suffixes(t.select(F.col("unit_id").alias("record"), suffixes.alias("x")).select("record", "x.*"), 2)
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
