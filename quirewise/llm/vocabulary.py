@@ -138,8 +138,9 @@ def marked(counts: DataFrame, total, rare: int = RARE_UNITS, common: float = COM
 def token_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """count_suffixes() of the folded surfaces and the lemmas of the counted tokens, two terms long: what follows is taken
     from the next token of the unit before the lemmas are set apart."""
-    t = with_lemmas(run_tokens(spark, sf_dir).select("unit_id", "pos", "surface", "reading_idx"), table(spark, sf_dir, "readings"))
-    w = Window.partitionBy("unit_id").orderBy("pos", "surface")
+    t = with_lemmas(run_tokens(spark, sf_dir).select("unit_id", "indexed_at", "pos", "surface", "reading_idx"), table(spark, sf_dir, "readings"))
+    # In the order in which the rows that count were picked: they need not be sorted again.
+    w = Window.partitionBy("unit_id").orderBy(F.col("indexed_at").desc_nulls_last(), "pos")
     t = t.withColumns({"after": F.lead("surface").over(w), "lemma_after": F.lead(F.col("lemmas")[0]).over(w)})
     one = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("term_1"), b.alias("term_2"))
     lemmas = F.transform("lemmas", lambda x, i: one("lemma", x, F.coalesce(F.get("lemmas", i + 1), F.col("lemma_after"))))
