@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirewise.session import stage
+from quirewise.session import join_lookup, stage
 from quirewise.sources.corpus import latest, table
 
 K, W, LEAST, PIECE = 16, 20, 120, 1 << 20
@@ -146,17 +146,20 @@ def _edges(least: int, k: int, w: int):
 
 
 def _windows(least: int):
-    """Digests of the windows that start in the ranges of each piece."""
+    """Digests of the windows that start in the ranges of each piece; again: whether the piece has the same window before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, at, text, ranges in zip(*(b.column(c).to_pylist() for c in ("id", "at", "part", "ranges"))):
+            for i, at, text, many, ranges in zip(*(b.column(c).to_pylist() for c in ("id", "at", "part", "many", "ranges"))):
                 starts = sorted({x for r in ranges for x in range(r["a"], r["z"])})
                 if not starts:
                     continue
-                digests = b"".join(digest_of(text[x - at : x - at + least]) for x in starts)
-                h = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), i)), pa.array(np.array(starts, np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["id", "at", "h1", "h2"])
+                digests = [digest_of(text[x - at : x - at + least]) for x in starts]
+                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                first = dict(zip(reversed(digests), range(len(starts) - 1, -1, -1)))
+                again = np.ones(len(starts), bool)
+                again[list(first.values())] = False
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), i)), pa.array(np.array(starts, np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again), pa.array(np.full(len(starts), many))], names=["id", "at", "h1", "h2", "again", "many"])
 
     return run
 
@@ -198,11 +201,12 @@ class SharedSpans:
             .drop("path"),
             "unitigs",
         )
-        #: id, at, h1, h2 of the windows over the ends of unitigs.
-        self.windows = stage(self._ranged().mapInArrow(_windows(least), "id long, at int, h1 long, h2 long"), "windows")
+        #: id, at, h1, h2 of the windows over the ends of unitigs; many: of a text of several pieces.
+        self.windows = stage(self._ranged().mapInArrow(_windows(least), "id long, at int, h1 long, h2 long, again boolean, many boolean"), "windows")
         #: h1, h2, and a signature of the set of texts that hold the window.
-        texts_of = self.windows.select("h1", "h2", "id").distinct()
-        word = lambda s: F.sum(F.xxhash64(F.lit(s), "id").cast("decimal(20,0)"))
+        once = self.windows.filter("NOT again")
+        texts_of = once.filter("NOT many").select("h1", "h2", "id").unionByName(once.filter("many").select("h1", "h2", "id").distinct())
+        word = lambda s: F.bit_xor(F.xxhash64(F.lit(s), "id"))
         self.shared = texts_of.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), word(1).alias("s1"), word(2).alias("s2")).filter("n > 1")
 
     def _ranged(self) -> DataFrame:
@@ -219,7 +223,7 @@ class SharedSpans:
         r = r.withColumn("p", F.explode(F.sequence(F.floor(F.col("r.a") / self.piece).cast("int"), F.floor((F.col("r.z") - 1) / self.piece).cast("int"))))
         per = r.groupBy("id", "p").agg(F.collect_list("r").alias("rs"))  # at most as many as a piece has edges
         cut = lambda x: span(F.greatest(x["a"], F.col("lo")), F.least(x["z"], F.col("hi"), F.col("n") - least + 1))
-        return self.pieces.join(per, ["id", "p"]).select("id", "at", "part", F.transform("rs", cut).alias("ranges"))
+        return self.pieces.join(per, ["id", "p"]).select("id", "at", "part", (F.col("n") > self.piece).alias("many"), F.transform("rs", cut).alias("ranges"))
 
     def _told(self, windows: DataFrame) -> DataFrame:
         """windows with the characters that stand at their coordinates."""
@@ -230,12 +234,12 @@ class SharedSpans:
     def sets(self) -> DataFrame:
         """h1, h2, n, id: each set of n texts that share a window, once, and its members: a row a text and set. Which
         texts share a window is told by its digest; the characters are compared here."""
-        one = self.shared.groupBy("n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2", "n")
-        first = self.windows.groupBy("h1", "h2", "id").agg(F.min("at").alias("at"))
-        told = stage(self._told(first.join(one, ["h1", "h2"])), "span_sets")
+        one = stage(self.shared.groupBy("n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2", "n"), "sets")
+        named = join_lookup(self.windows.filter("NOT again").select("h1", "h2", "id", "at"), one, ["h1", "h2"])
+        told = stage(self._told(named.groupBy("h1", "h2", "id", "n").agg(F.min("at").alias("at"))), "span_sets")
         unlike = told.groupBy("h1", "h2").agg(F.min("chars").alias("a"), F.max("chars").alias("z")).filter("a <> z")
         if unlike.take(1):  # equal digests of unlike windows: then no set is taken for another, all windows are looked at
-            told = stage(self._told(self.windows.join(self.shared.select("h1", "h2", "n"), ["h1", "h2"])).distinct(), "span_sets")
+            told = stage(self._told(self.windows.select("h1", "h2", "id", "at").join(self.shared.select("h1", "h2", "n"), ["h1", "h2"])).distinct(), "span_sets")
             per = told.groupBy("h1", "h2", "chars").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
             told = told.join(per, ["h1", "h2", "chars"]).withColumns({"h2": F.xxhash64("h2", "chars"), "n": F.col("k")})
         return told.select("h1", "h2", "n", "id")
