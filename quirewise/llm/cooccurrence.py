@@ -7,8 +7,8 @@ Bernoulli variables; its upper tail (Poisson-binomial, by saddle point) is the s
 are controlled over all pairs of items (Benjamini-Hochberg).
 
 Scale. Every pair that shares a basket is counted and scored, as the step-up rule ranks them all.
-Equal baskets are counted once, with their number. Baskets of more than BLOCK items are cut: a row holds one block of a
-basket and the items after it, and rows are spread anew. Pairs are combined in the task that makes them. The model knows
+Equal baskets are counted once, with their number. Baskets of more than BLOCK items are cut into blocks by the items' hash:
+a row holds two blocks of a basket, so none grows with a basket, and rows are spread anew. Pairs are combined in the task that makes them. The model knows
 items and baskets only by their degree: the tables that reach the driver have a row for each distinct degree up to EXACT,
 beyond it one for each class 1/EXACT wide, that is EXACT for each e-fold, 4,300 for degrees up to 10^9; the fit goes through
 the classes' matrix in strips. Pairs of like degrees and number have one tail, worked out once and joined back.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewise.session import fits, join_lookup, stage, stage_bucketed
@@ -105,24 +105,22 @@ def tail_log10(n: np.ndarray, p: np.ndarray, m: np.ndarray, rounds: int = 60) ->
     return out
 
 
-def _pairs_of(left: pa.Array, rest: pa.Array, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs within the rows' blocks, and of each block with what comes after it in the basket, rows of like size at once."""
-    lo, ro = left.offsets.to_numpy().astype(np.int64), rest.offsets.to_numpy().astype(np.int64)
-    lv, rv = left.values.to_numpy(), rest.values.to_numpy()
+def _pairs_of(left: pa.Array, right: pa.Array, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of a row's block, or where there is a right block, of one of the left with one of the right; rows of like
+    size at once."""
+    lo, ro = left.offsets.to_numpy().astype(np.int64), right.offsets.to_numpy().astype(np.int64)
+    lv, rv = left.values.to_numpy(), right.values.to_numpy()
     ln, rn = np.diff(lo), np.diff(ro)
-    for a in np.unique(ln):
+    for a in np.unique(ln[rn == 0]):
         i, j = np.triu_indices(a, 1)
-        rows = np.flatnonzero(ln == a)
+        rows = np.flatnonzero((ln == a) & (rn == 0))
         per = max(1, FLUSH // max(len(i), 1))
         for at in range(0, len(rows), per) if len(i) else ():
             r = rows[at : at + per]
             yield lv[lo[r][:, None] + i].ravel(), lv[lo[r][:, None] + j].ravel(), np.repeat(times[r], len(i))
-    for r in np.flatnonzero(rn > 0):  # baskets of more than one block
-        mine = lv[lo[r] : lo[r + 1]]
-        per = max(1, FLUSH // len(mine))
-        for at in range(int(ro[r]), int(ro[r + 1]), per):
-            far = rv[at : min(at + per, int(ro[r + 1]))]
-            yield np.repeat(mine, len(far)), np.tile(far, len(mine)), np.full(len(mine) * len(far), times[r])
+    for r in np.flatnonzero(rn > 0):  # of baskets of more than one block
+        x, y = np.meshgrid(lv[lo[r] : lo[r + 1]], rv[ro[r] : ro[r + 1]])
+        yield np.minimum(x, y).ravel(), np.maximum(x, y).ravel(), np.full(x.size, times[r])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +135,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        for part in _pairs_of(batch.column("left"), batch.column("rest"), batch.column("times").to_numpy()):
+        for part in _pairs_of(batch.column("left"), batch.column("right"), batch.column("times").to_numpy()):
             held.append(part)
             size += len(part[0])
             if size >= FLUSH:
@@ -184,17 +182,25 @@ def together(incidence: DataFrame, least: int = 1, lift: float = 0, false_share:
     inc = stage_bucketed(inc, "incidence", "basket")
     items = stage(inc.groupBy("item").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.monotonically_increasing_id()), "items")
     sizes = inc.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    of_size = sizes.groupBy(degree_class(F.col("size")).alias("k")).agg(F.count(F.lit(1)).alias("m"), F.avg("size").alias("d")).orderBy("k").toPandas()
+    of_size = sizes.groupBy(degree_class(F.col("size")).alias("k")).agg(F.count(F.lit(1)).alias("m"), F.avg("size").alias("d"), F.max("size").alias("most")).orderBy("k").toPandas()
     of_freq = items.groupBy(degree_class(F.col("df")).alias("k")).agg(F.count(F.lit(1)).alias("m"), F.avg("df").alias("d")).orderBy("k").toPandas()
-    baskets, kinds = int(of_size.m.sum()), int(of_freq.m.sum())
+    baskets, kinds, largest = int(of_size.m.sum()), int(of_freq.m.sum()), of_size.most.max()
     d, m, f, freq = (c.to_numpy(float) for c in (of_size.d, of_size.m, of_freq.d, of_freq.m))
     x, y = fit_null(d, m, f, freq) if baskets else (d, f)
     few = fits(items)
-    held = join_lookup(inc, items.select("item", "id"), "item", few=few).groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-    held = held.groupBy("ids").agg(F.count(F.lit(1)).alias("times"))
-    cut = held.select("ids", "times", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ids") / F.lit(block)).cast("int") - 1)).alias("i"))
-    rows = cut.select(F.slice("ids", F.col("i") * block + 1, F.lit(block)).alias("left"), F.slice("ids", (F.col("i") + 1) * block + 1, F.size("ids")).alias("rest"), "times")
-    counted = rows.repartition(F.xxhash64("left", "rest")).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    held = join_lookup(inc, items.select("item", "id"), "item", few=few)
+    in_blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("basket")) / F.lit(block)).cast("int")
+    cut = held.select("basket", "id", in_blocks.alias("blocks")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.groupBy("basket", "blocks", "i").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    none = F.array().cast("array<bigint>")
+    rows = cut.filter("blocks = 1 AND size(ids) > 1").groupBy("ids").agg(F.count(F.lit(1)).alias("times")).select(F.col("ids").alias("left"), none.alias("right"), "times")
+    if largest > block:  # two blocks of a basket make a row, each one with itself too
+        many = cut.filter("blocks > 1")
+        one = many.select("basket", F.col("ids").alias("left"), "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+        other = many.select("basket", F.col("ids").alias("right"), F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"))
+        two = one.join(other, ["basket", "i", "j"]).select("left", F.when(F.col("i") == F.col("j"), none).otherwise(F.col("right")).alias("right"), F.lit(1).cast("long").alias("times"))
+        rows = rows.unionByName(two)
+    counted = rows.repartition(F.xxhash64("left", "right")).mapInArrow(_count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     with_item = lambda t, s, *cols: join_lookup(t, items.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in cols)), s, few=few)
     known = stage(with_item(with_item(counted, "a", "df"), "b", "df"), "pairs")
     classes = [degree_class(F.col(c)) for c in ("df_a", "df_b")]
