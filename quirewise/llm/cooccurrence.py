@@ -189,7 +189,7 @@ def together(incidence: DataFrame, least: int = 1, lift: float = 0, false_share:
     x, y = fit_null(d, m, f, freq) if baskets else (d, f)
     few = fits(items)
     held = join_lookup(inc, items.select("item", "id"), "item", few=few)
-    in_blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("basket")) / F.lit(block)).cast("int")
+    in_blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("basket")) / F.lit(block)).cast("int") if largest > block else F.lit(1)
     cut = held.select("basket", "id", in_blocks.alias("blocks")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.groupBy("basket", "blocks", "i").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     none = F.array().cast("array<bigint>")
