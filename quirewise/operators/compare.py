@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Hashable, Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.sources.markup import extract_text, last_segment, mark_block, resolve_block
 from quirewise.sources.model import Corpus
 
 MOST_EDITS = 3000
@@ -104,6 +106,63 @@ def word_ops(a: str, b: str) -> list[dict]:
     return out
 
 
+def _in_place(block: dict) -> tuple[list[str], list[bool], list[tuple[dict, ...]]]:
+    """The signs of a block, whether white space stands before each, and the inline elements around each."""
+    text, spans = extract_text(block, "both")
+    words, spaced, around, last, at = [], [], [], 0, 0
+    for m in regex.finditer(SIGN, text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        words.append(m.group())
+        spaced.append(m.start() > last)
+        around.append(spans[at][2] if at < len(spans) and spans[at][0] <= m.start() else ())
+        last = m.end()
+    return words, spaced, around
+
+
+def merged(old: dict, new: dict) -> list[dict]:
+    """The running text that turns one block into another: what both have keeps the new block's inline elements, what only one
+    has is a deletion or an insertion of plain text."""
+    a, b = _in_place(old), _in_place(new)
+    plain = lambda side, lo, hi: {"type": "plainText", "content": "".join(" " * side[1][i] + side[0][i] for i in range(lo, hi))}
+    out: list[dict] = []
+    done = 0  # of the new block: where its stretch of an equal run begins
+    for op, lo, hi in shortest_script(a[0], b[0]):
+        if op == DELETE:
+            out.append({"type": "deletion", "content": [plain(a, lo, hi)]})
+            continue
+        start, done = done, done + hi - lo
+        if op == INSERT:
+            out.append({"type": "insertion", "content": [plain(b, lo, hi)]})
+            continue
+        for around, run in groupby(range(start, done), key=lambda i: b[2][i]):
+            at = list(run)
+            x = plain(b, at[0], at[-1] + 1)
+            for element in reversed(around):
+                x = element | {"content": [x]}
+            out.append(x)
+    return out
+
+
+def compare_trees(old: Sequence[dict], new: Sequence[dict], version: str = "edited") -> list[dict]:
+    """Two lists of blocks as one, in order, the changes as editorial marks: blocks are matched by the last part of their ids
+    in lower case; one that is equal stays, one that changed holds a paragraph of merged text, one that only one side
+    has is marked whole."""
+    x, y = [resolve_block(b, version) for b in old], [resolve_block(b, version) for b in new]
+    key = lambda b: last_segment(b["id"]).lower()
+    out = []
+    for i, j in align([key(b) for b in x], [key(b) for b in y]):
+        if j is None:
+            out.append(mark_block(x[i], "deletion"))
+        elif i is None:
+            out.append(mark_block(y[j], "insertion"))
+        elif extract_text(x[i], "both")[0] == extract_text(y[j], "both")[0]:
+            out.append(y[j])
+        else:
+            out.append(y[j] | {"content": [{"type": "paragraph", "content": merged(x[i], y[j])}]})
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     """Index pairs of two sequences of keys, in order; None where one of them lacks the key."""
     out, i, j = [], 0, 0

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from quirewise.operators import scope, search
+from quirewise.operators import compare, scope, search
 from quirewise.sources import artefacts, markup
 
 TEXT = lambda s: {"type": "plainText", "content": s}
@@ -97,3 +97,14 @@ def test_sections_inherit(spark):
     s = {(r.id, r.path_key): r for r in markup.document_sections(docs).collect()}
     assert not s["bell.solo.1740", "1/a"].imported and s["bell.solo.1740", "1/a"].authors == ["bell"] and s["bell.solo.1740", "1/a"].title == "a"
     assert s["bell.corr.1760", "solo"].owner == "bell.solo.1740" and s["bell.corr.1760", "2"].owner == "bell.corr.1760"
+
+
+def test_trees_side_by_side():
+    old = [BLOCK("w.1700.s.1", PAR("Same.")), BLOCK("w.1700.s.2", PAR("The old ", WRAP("emphasis", "fine word"), ", here.")), BLOCK("w.1700.s.9", PAR("Gone."))]
+    new = [BLOCK("w.1710.s.1", PAR("Same.")), BLOCK("w.1710.s.2", PAR("The new ", WRAP("emphasis", "fine word"), "; here.")), BLOCK("w.1710.s.X", PAR("Come."))]
+    got = compare.compare_trees(old, new)
+    assert [b["id"] for b in got] == ["w.1710.s.1", "w.1710.s.2", "w.1700.s.9", "w.1710.s.X"] and got[0] == new[0]
+    assert markup.extract_text(got[1])[0] == "The new fine word; here." and markup.extract_text(got[1], "original")[0] == "The old fine word, here."
+    inline = got[1]["content"][0]["content"]
+    assert [x["type"] for x in inline] == ["plainText", "deletion", "insertion", "emphasis", "deletion", "insertion", "plainText"] and inline[3]["content"] == [TEXT(" fine word")]
+    assert got[2] == markup.mark_block(old[2], "deletion") and got[3] == markup.mark_block(new[2], "insertion")
