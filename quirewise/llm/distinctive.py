@@ -135,13 +135,15 @@ def distinctive(counts: DataFrame, own: float = OWN, broadcast_rows: int = BROAD
         joined = c.join(F.broadcast(back), "term").select(*cols)
     else:
         # A term in more than `least` records is one of at most broadcast_rows (and of HOT_BYTES at most, so that the
-        # bytes are bounded too); the others travel by term, spread where a term is longer and frequent.
+        # bytes are bounded too); the others travel by term, the longer ones, which may be frequent, spread.
         least = max(1, -(-c.count() // broadcast_rows))
         is_hot = (F.col("df") > least) & (F.octet_length("term") <= HOT_BYTES)
         hot, cold = back.filter(is_hot), back.filter(~is_hot)
         known = c.join(F.broadcast(hot), "term", "left")
-        rest = join_lookup(known.filter("q IS NULL").select("record", "term", "c"), cold, "term", few=False)
-        joined = known.filter("q IS NOT NULL").select(*cols).unionByName(rest.select(*cols))
+        rest, long = known.filter("q IS NULL").select("record", "term", "c"), F.octet_length("term") > HOT_BYTES
+        near = rest.filter(~long).join(cold.filter(~long), "term")
+        far = join_lookup(rest.filter(long), cold.filter(long), "term", few=False)
+        joined = known.filter("q IS NOT NULL").select(*cols).unionByName(near.select(*cols)).unionByName(far.select(*cols))
     schema = "record long, term string, c long, tokens long, p double, rank int, rest double, weight double"
     # The window both keeps the buckets of the scan together and leaves the rows sorted by record and term.
     by = Window.partitionBy("record").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -143,8 +143,12 @@ def _joined(docs: DataFrame, ranks: dict[bytes, int], lengths_only: bool, hot_wo
     whole = found.filter("whole").select("key", "got")
     runs = found.filter("NOT whole AND word IS NULL").select("key", "pos", "got")
     rare_ids = rare.select("word", (F.size("ids").cast("long") if lengths_only else F.col("ids")).alias("got"))
-    # A rare piece occurs less than total / hot_words times, or is long: the long ones may be frequent, so they are spread.
-    fetched = join_lookup(found.filter("NOT whole AND word IS NOT NULL").select("key", "pos", "word"), rare_ids, "word", few=False).select("key", "pos", "got")
+    # A rare piece occurs less than total / hot_words times, so none is a hot key; a long one may, so these are spread.
+    asked = found.filter("NOT whole AND word IS NOT NULL").select("key", "pos", "word")
+    long = F.octet_length("word") > HOT_BYTES
+    near = asked.filter(~long).join(rare_ids.filter(~long), "word")
+    far = join_lookup(asked.filter(long), rare_ids.filter(long), "word", few=False)
+    fetched = near.select("key", "pos", "got").unionByName(far.select("key", "pos", "got"))
     both = runs.unionByName(fetched).groupBy("key")
     if lengths_only:
         put = both.agg(F.sum("got").alias("got"))

@@ -104,15 +104,16 @@ def test_parsimonious_converges():
 
 
 def test_distinctive(spark):
-    rows = [(1, "a", 3), (1, "b", 1), (2, "a", 1), (2, "c", 2), (3, "a", 1), (None, "a", 1), (4, None, 1), (5, "z", 0)]
+    wide = "w" * 80
+    rows = [(1, "a", 3), (1, "b", 1), (2, "a", 1), (2, "c", 2), (3, "a", 1), (None, "a", 1), (4, None, 1), (5, "z", 0)] + [(r, wide, 1) for r in (1, 2, 3)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "record long, term string, c long, q double")
-    df_of = {"a": 3, "b": 1, "c": 1}
+    df_of = {"a": 3, "b": 1, "c": 1, wide: 3}
     raw = {(r, t): (1 + math.log(c)) * (math.log(4 / (df_of[t] + 1)) + 1) for r, t, c in rows if r and t and c}
     want = {k: w / math.sqrt(sum(v * v for (r, _), v in raw.items() if r == k[0])) for k, w in raw.items()}
     for most in (100, 1):  # 1: all but the commonest term take the exchange
         got = distinctive.distinctive(df, broadcast_rows=most).collect()
         assert {(r.record, r.term): r.weight for r in got} == pytest.approx(want)
-        assert {r.record: r.tokens for r in got} == {1: 4, 2: 3, 3: 1}
+        assert {r.record: r.tokens for r in got} == {1: 5, 2: 4, 3: 2}
     for r in {1, 2, 3}:
         mine = sorted((x for x in got if x.record == r), key=lambda x: x.rank)
         assert [x.rank for x in mine] == list(range(1, len(mine) + 1)) and [(-x.p, x.term) for x in mine] == sorted((-x.p, x.term) for x in mine)
