@@ -1,4 +1,4 @@
-"""Published numbers of the small corpus."""
+"""Published numbers of the small corpus. The numbers expected here."""
 
 import pytest
 from pyspark.sql import functions as F

@@ -1,3 +1,5 @@
+"""Rules of words, readings, scope and comparison. The expected words and readings."""
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
